@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import table
 from .simhash import hex_of, simhash_groups
+from .substring_dedup import remove_repeats
 
 
 def op10_simhash_bktree(spark, sf_dir):
@@ -12,5 +15,14 @@ def op10_simhash_bktree(spark, sf_dir):
     return out.select(out["id"].alias("doc_id"), hex_of(out["fp"]).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op10_simhash_bktree": op10_simhash_bktree}
+def op5_substring_debruijn(spark, sf_dir):
+    """One row per document: words, removed words and the digest of what stays."""
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op5_substring_debruijn": op5_substring_debruijn,
+    "op10_simhash_bktree": op10_simhash_bktree,
+}
 ORACLES: dict[str, str] = {}
