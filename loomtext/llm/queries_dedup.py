@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import table
+from .line_dedup import deduplicate_lines
 from .simhash import hex_of, simhash_groups
 from .substring_dedup import remove_repeats
 
@@ -21,8 +22,36 @@ def op5_substring_debruijn(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_line_windows(spark, sf_dir):
+    """One row per document: lines, removed lines and the digest of what stays."""
+    out = deduplicate_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: The same in DuckDB: lines by number, windows of three filled lines, all but the first of equal windows, covered lines out.
+OP6_SQL = r"""
+WITH split AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM split),
+filled AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS f
+           FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+win AS (SELECT doc_id, f, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
+        FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY f)),
+later AS (SELECT doc_id, f FROM (SELECT doc_id, f, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, f) AS n
+          FROM win WHERE c IS NOT NULL) WHERE n > 1),
+gone AS (SELECT DISTINCT x.doc_id, x.i FROM filled x JOIN later l
+         ON x.doc_id = l.doc_id AND x.f BETWEEN l.f AND l.f + 2),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text
+         FROM line l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT s.doc_id, CASE WHEN s.text IS NULL THEN 0 ELSE len(s.lines) END AS n_lines,
+       coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)
+"""
+
+
 QUERIES = {
     "op5_substring_debruijn": op5_substring_debruijn,
+    "op6_line_windows": op6_line_windows,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_line_windows": OP6_SQL}
