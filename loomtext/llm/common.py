@@ -80,8 +80,8 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 # ------------------------------------------------------- vectorised tokenising
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+P = np.uint64(0x9E3779B97F4A7C15 | 1)
+P_INVERSE = np.uint64(pow(int(P), -1, 1 << 64))
 _Q = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -95,7 +95,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -151,8 +151,8 @@ def words_of(column: pa.Array, in_word: np.ndarray = SPACE_CLASS, fold: np.ndarr
     first[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | first))
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | first))
-    values = (_BYTE_VALUE[fold] if fold is not None else _BYTE_VALUE)[data]
-    hashes = range_hash(values, starts, ends, _P, _P_INVERSE)
+    values = (BYTE_VALUE[fold] if fold is not None else BYTE_VALUE)[data]
+    hashes = range_hash(values, starts, ends, P, P_INVERSE)
     bounds = np.searchsorted(starts, offsets, "left")
     document = np.repeat(np.arange(len(text)), np.diff(bounds))
     return document, hashes, bounds

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_dedup
+from . import queries_dedup, queries_mixing, queries_scores
 
-QUERIES = {**queries_dedup.QUERIES}
-ORACLES = {**queries_dedup.ORACLES}
+_MODULES = (queries_scores, queries_dedup, queries_mixing)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
