@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_mixing, queries_scores
+from . import queries_dedup, queries_mixing, queries_scores, queries_text
 
-_MODULES = (queries_scores, queries_dedup, queries_mixing)
+_MODULES = (queries_scores, queries_text, queries_dedup, queries_mixing)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
