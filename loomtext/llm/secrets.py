@@ -48,7 +48,8 @@ def find(text: Column, pattern: str, might: str, group: int = 0, least: int = 0)
     Each match is extracted together with the text since the one before, so that
     places are running sums of lengths. Texts without ``might`` are passed over.
     """
-    lazy = F.lit(rf"(?s)(.*?)({pattern})")
+    # \G: after the last match there is one attempt, not one from every place.
+    lazy = F.lit(rf"(?s)\G(.*?)({pattern})")
     hit = text.rlike(might)
     part = lambda n: F.when(hit, F.regexp_extract_all(text, lazy, F.lit(n)))
     parts = F.arrays_zip(part(0).alias("a"), part(2).alias("b"), part(2 + group).alias("c"))
