@@ -8,6 +8,7 @@ from .common import table
 from .line_dedup import deduplicate_lines
 from .simhash import hex_of, simhash_groups
 from .substring_dedup import remove_repeats
+from .vector_dedup import near_vectors
 
 
 def op10_simhash_bktree(spark, sf_dir):
@@ -49,9 +50,33 @@ FROM split s LEFT JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)
 """
 
 
+def op4_embedding_tiles(spark, sf_dir):
+    """One row per vector: its links, its component and whether it stays."""
+    out = near_vectors(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: All pairs of a label in double precision; components by a recursive walk that keeps the smallest id.
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+         AND list_cosine_similarity(a.x, b.x) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(l.b, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(l.b, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN least l ON e.vec_id = l.a LEFT JOIN n ON e.vec_id = n.a
+"""
+
+
 QUERIES = {
+    "op4_embedding_tiles": op4_embedding_tiles,
     "op5_substring_debruijn": op5_substring_debruijn,
     "op6_line_windows": op6_line_windows,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
-ORACLES: dict[str, str] = {"op6_line_windows": OP6_SQL}
+ORACLES: dict[str, str] = {"op4_embedding_tiles": OP4_SQL, "op6_line_windows": OP6_SQL}
