@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_chat, queries_dedup, queries_mixing, queries_scores, queries_text
+from . import queries_chat, queries_dedup, queries_leaks, queries_mixing, queries_scores, queries_text
 
-_MODULES = (queries_scores, queries_text, queries_dedup, queries_chat, queries_mixing)
+_MODULES = (queries_scores, queries_text, queries_leaks, queries_dedup, queries_chat, queries_mixing)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
