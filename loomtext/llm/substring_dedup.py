@@ -10,9 +10,10 @@ compacted before anything is shuffled:
    inner node has one way in and one way out. Equal windows have equal
    minimizers at equal offsets, so they can only meet inside paths of the same
    minimizer.
-2. A count of minimizers over all documents leaves those seen twice or more;
-   paths of other minimizers hold no repeat. The survivors travel back as a
-   bitmap of fixed size. A wrong bit only lets a path without repeats through.
+2. A count of minimizers over all documents leaves those of two or more paths,
+   and among them those whose paths differ; paths of other minimizers hold no
+   repeat. Both sets travel back as bitmaps of fixed size. A wrong bit only lets
+   through a path, or edges, without repeats.
 3. Paths of equal content are compacted by one aggregation: if two or more
    occur, each of their edges is a repeat, with no work by edge.
 4. The remaining paths branch: they share a minimizer with other content. Only
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, q_hash, session_of, slices, text_bytes, words_of
+from .common import bounded_batches, checkpointed, q_hash, session_of, slices, text_bytes, words_of
 
 #: Words of a minimizer gram.
 GRAM = 8
@@ -88,25 +89,33 @@ def paths_of(document: np.ndarray, words: np.ndarray, bounds: np.ndarray, k: int
 
 
 def _paths(docs: DataFrame, k: int, m: int):
-    """All paths as (mh), for counting."""
+    """All paths as (minimizer, content), for counting."""
 
     def run(batches):
         for part in slices(batches, "text"):
-            _, _, _, minimizer, _, _ = paths_of(*words_of(part.column(0)), k, m)
-            yield pa.RecordBatch.from_arrays([pa.array(minimizer.view(np.int64))], names=["mh"])
+            _, _, _, minimizer, content, _ = paths_of(*words_of(part.column(0)), k, m)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (minimizer, content[0])], names=["mh", "c1"])
 
-    return docs.select("text").mapInArrow(run, "mh long")
+    return docs.select("text").mapInArrow(run, "mh long, c1 long")
 
 
-def repeated_minimizers(docs: DataFrame, k: int, m: int, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits bits with a bit for every minimizer of two or more paths."""
+def shared_minimizers(docs: DataFrame, k: int, m: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bitmaps of 2**bits bits: minimizers of two or more paths, and those whose paths differ in content."""
+    seen = _paths(docs, k, m).groupBy("mh").agg(F.count("*").alias("n"), F.min("c1").alias("low"), F.max("c1").alias("high")).where("n > 1")
     slot = F.shiftrightunsigned(F.xxhash64("mh"), 64 - bits)
-    twice = _paths(docs, k, m).groupBy("mh").agg(F.count("*").alias("n")).where("n > 1")
-    # At most 2**(bits-6) words of 64 bits reach the driver, whatever the input.
-    rows = twice.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("set")).toArrow()
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    bitmap[rows.column("word").to_numpy()] = rows.column("set").to_numpy().view(np.uint64)
-    return bitmap
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    # At most 2**(bits-6) rows of two 64-bit words reach the driver, whatever the input.
+    rows = seen.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(bit).alias("seen"), F.bit_or(F.when(F.col("low") != F.col("high"), bit).otherwise(0)).alias("differ")).toArrow()
+    out = []
+    for name in ("seen", "differ"):
+        bitmap = np.zeros(1 << (bits - 6), np.uint64)
+        bitmap[rows.column("word").to_numpy()] = rows.column(name).to_numpy().view(np.uint64)
+        out.append(bitmap)
+    return out[0], out[1]
+
+
+def _member(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _xxh64_of_long(values: np.ndarray) -> np.ndarray:
@@ -123,20 +132,21 @@ def _xxh64_of_long(values: np.ndarray) -> np.ndarray:
 
 
 def _candidates(docs: DataFrame, k: int, m: int, shared, bits: int, with_windows: bool) -> DataFrame:
-    """The paths whose minimizer is in the bitmap."""
+    """The paths whose minimizer is in the first bitmap; with their windows if it is in the second."""
 
     def run(batches):
-        bitmap = shared.value
+        seen, differ = shared.value
         for part in slices(batches, "text"):
             document, first, count, minimizer, content, windows = paths_of(*words_of(part.column(2)), k, m)
             slot = _xxh64_of_long(minimizer) >> np.uint64(64 - bits)
-            keep = (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+            keep = _member(seen, slot)
             arrays = [pa.array(x[keep].view(np.int64)) for x in (minimizer, *content)]
             arrays += [part.column(0).take(pa.array(document[keep])), part.column(1).take(pa.array(document[keep])), pa.array(first[keep].astype(np.int32)), pa.array(count[keep].astype(np.int32))]
             names = ["mh", "c1", "c2", "id", "tk", "at", "n"]
             if with_windows:
-                flat = windows[np.repeat(keep, count)]
-                offsets = np.concatenate([[0], np.cumsum(count[keep])]).astype(np.int32)
+                laid = keep & _member(differ, slot)
+                flat = windows[np.repeat(laid, count)]
+                offsets = np.concatenate([[0], np.cumsum(np.where(laid, count, 0)[keep])]).astype(np.int32)
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))))
                 names.append("ws")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -148,12 +158,12 @@ def _candidates(docs: DataFrame, k: int, m: int, shared, bits: int, with_windows
 def repeated_spans(docs: DataFrame, k: int = 35, m: int = GRAM, bitmap_bits: int = 26) -> DataFrame:
     """(id, tk, at, n): n repeated windows from window ``at`` on, for ``docs(id, tk, text)``."""
     spark = session_of(docs)
-    bitmap = repeated_minimizers(docs, k, m, bitmap_bits)
-    shared = spark.sparkContext.broadcast(bitmap)
+    shared = spark.sparkContext.broadcast(shared_minimizers(docs, k, m, bitmap_bits))
     path = ["mh", "c1", "c2"]
     whole = _candidates(docs, k, m, shared, bitmap_bits, True)
     # All copies of a path hold the same windows, so min() takes any.
     compact = whole.groupBy(*path).agg(F.count("*").alias("copies"), F.min("ws").alias("ws"), F.min("id").alias("id"), F.min("tk").alias("tk"), F.min("at").alias("at"))
+    compact = checkpointed(compact)
     branching = compact.select("mh", "id", "tk", "at", "copies", F.posexplode("ws").alias("i", "w"))
     meet = branching.groupBy("mh", "w").agg(
         F.count("*").alias("paths"), F.sum((F.col("copies") == 1).cast("int")).alias("single")
