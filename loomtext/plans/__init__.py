@@ -1 +1 @@
-
+"""Query parsing and rewriting before any DataFrame exists."""
