@@ -17,8 +17,13 @@ from ..config import AnalyzerConfig
 SPACE = r"[\s\x{00A0}\x{2028}\x{2029}]"
 
 
+def _each(f, values: pd.Series) -> pd.Series:
+    """f of every value; null for null, also where all are."""
+    return pd.Series([None if x is None or x is pd.NA or x != x else f(x) for x in values], dtype=object)
+
+
 def _unescaped(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+    return _each(html.unescape, text)
 
 
 def html_unescape(text) -> Column:
@@ -47,7 +52,7 @@ def _treebank(text: str) -> list[str]:
 
 
 def _treebanked(text: pd.Series) -> pd.Series:
-    return text.map(_treebank, na_action="ignore")
+    return _each(_treebank, text)
 
 
 def treebank_tokens(text) -> Column:
@@ -95,7 +100,7 @@ def merge_phrases(text: Column, phrases) -> Column:
                 text = re.sub(rf"\b{re.escape(phrase)}\b", phrase.replace(" ", "_"), text)
             return text
 
-        return texts.map(one, na_action="ignore")
+        return _each(one, texts)
 
     return F.pandas_udf(fold, "string")(text)
 
@@ -238,7 +243,7 @@ def porter(word: str) -> str:
 
 
 def _stemmed(word: pd.Series) -> pd.Series:
-    return word.map({w: porter(w) for w in word.dropna().unique()})
+    return _each({w: porter(w) for w in word.dropna().unique()}.get, word)
 
 
 def stem(word) -> Column:

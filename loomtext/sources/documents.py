@@ -24,7 +24,7 @@ def read_events(spark: SparkSession, folder: str, max_files: int | None = None)
     Malformed files give null fields and fall out with those that lack a
     description. ``max_files`` takes the first by name. Of equal ids the last file wins.
     """
-    files = spark.read.option("pathGlobFilter", "PastEvent*.[xX][mM][lL]").option("wholetext", True).text(folder)
+    files = spark.read.option("pathGlobFilter", "PastEvent*.[xX][mM][lL]").text(folder, wholetext=True)
     files = files.select(F.col("_metadata.file_name").alias("file_name"), "value")
     if max_files is not None:
         files = files.orderBy("file_name").limit(max_files)
@@ -43,7 +43,7 @@ def event_documents(events: DataFrame) -> DataFrame:
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, tokens) of ``{id}.txt`` files with one token a line; empty files are no documents."""
-    files = spark.read.option("pathGlobFilter", "*.txt").option("wholetext", True).text(folder)
+    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     files = files.select(F.col("_metadata.file_name").alias("file_name"), "value").where("file_name <> 'mwe_phrases.txt'")
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     name = F.regexp_extract("file_name", r"^(.*)\.[^.]*$", 1)
