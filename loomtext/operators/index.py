@@ -149,6 +149,13 @@ def compression_stats(posting: DataFrame) -> DataFrame:
     return sized.withColumn("ratio", F.col("vb_bytes") / F.col("uncompressed_bytes"))
 
 
+def binary_lists(lists: DataFrame) -> DataFrame:
+    """(term, df, ids): lists as little-endian 32-bit ids."""
+    byte = lambda x, k: F.lpad(F.hex(F.shiftright(x, 8 * k).bitwiseAND(255)), 2, "0")
+    code = F.transform("doc_ids", lambda x: F.concat(*[byte(x, k) for k in range(4)]))
+    return lists.select("term", "df", F.unhex(F.array_join(code, "")).alias("ids"))
+
+
 def encoded_positions(ppostings: DataFrame) -> DataFrame:
     """(term, vb): count of documents, then by document its gap, count of positions and their gaps (C11)."""
     hex_of = F.concat(C.vb_hex(F.col("tf")), C.vb_hex_list(C.gaps(F.col("positions"))))

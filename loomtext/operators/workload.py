@@ -84,6 +84,23 @@ def boolean_queries(top: list[str]) -> list[str]:
     return [s.format(*top) for s in BOOLEAN_SHAPES]
 
 
+def corpus_phrases(docs: DataFrame, n: int = 10) -> DataFrame:
+    """(phrase, docs): the two-word phrases of most documents, a lexicon where none is given (T4) and a phrase workload.
+
+    A document's repeats go before the shuffle.
+    """
+    pairs = F.zip_with(F.slice("tokens", 1, F.size("tokens") - 1), F.slice("tokens", 2, F.size("tokens")), lambda a, b: F.concat_ws(" ", a, b))
+    rows = docs.where(F.size("tokens") > 1).select(F.explode(F.array_distinct(pairs)).alias("phrase"))
+    return rows.groupBy("phrase").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "phrase").limit(n)
+
+
+def phrase_queries(docs: DataFrame, n: int = 6, distances: tuple[int, ...] = (5, 3, 10)) -> list[tuple]:
+    """Phrases, one in capitals, and (term, term, distance) of the same words."""
+    found = [r["phrase"] for r in corpus_phrases(docs, n).collect()]
+    upper = [p.upper() if i == n - 1 else p for i, p in enumerate(found)]
+    return [("phrase", p) for p in upper] + [("proximity", *p.split(), k) for p, k in zip(found, distances, strict=False)]
+
+
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either side that the other lacks, with the side; empty if the answers agree."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).union(b.exceptAll(a).withColumn("side", F.lit("right")))

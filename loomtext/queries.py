@@ -13,7 +13,7 @@ from .functions import codec as C
 from .functions import text as X
 from .operators import analysis, boolean, index, phrase, ranking, skips, workload
 from .plans import boolean_ast
-from .sources.documents import read_documents
+from .sources.documents import parse_events, read_documents
 
 CONFIG = AnalyzerConfig()
 WHITESPACE = AnalyzerConfig(profile="whitespace")
@@ -473,6 +473,12 @@ def cdict_anchors(spark, sf_dir):
     return index.compressed_dictionary(lists(spark, sf_dir), IndexConfig())
 
 
+@query(f"""WITH {SQL_LISTS} SELECT term, df, array_to_string(list_transform(ids, lambda x: printf('%02X%02X%02X%02X', x & 255, (x >> 8) & 255, (x >> 16) & 255, (x >> 24) & 255)), '') AS ids FROM lists""")
+def binary_postings(spark, sf_dir):
+    """K7, D11."""
+    return index.binary_lists(lists(spark, sf_dir)).select("term", "df", F.hex("ids").alias("ids"))
+
+
 # ------------------------------------------------------------ skips
 
 _STEP = {
@@ -533,6 +539,22 @@ def df_tertile_workload(spark, sf_dir):
     return workload.tertiles(posting(spark, sf_dir))
 
 
+@query(f"""WITH {SQL_DOCS}, p AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1])) AS phrase FROM docs)
+  SELECT phrase, count(*) AS docs FROM p GROUP BY phrase ORDER BY docs DESC, phrase LIMIT 10""")
+def corpus_phrases(spark, sf_dir):
+    """T4 from the corpus, phrase workload: the limit is the feature."""
+    return workload.corpus_phrases(docs(spark, sf_dir))
+
+
+@query("SELECT doc_id, length(trim(text, ' ' || chr(10))) AS n_chars FROM documents WHERE length(trim(text, ' ' || chr(10))) > 0 AND NOT regexp_matches(text, '[<&]|\\n\\s*\\n')")
+def xml_events(spark, sf_dir):
+    """S2-S4 on event XML made of the documents without markup and blank lines."""
+    plain = read_documents(spark, sf_dir).where(~F.col("text").rlike(r"[<&]|\n\s*\n"))
+    xml = plain.select("doc_id", F.to_xml(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("description"))).alias("value"))
+    parsed = parse_events(xml.withColumn("file_name", F.concat(F.lit("PastEvent"), "doc_id", F.lit(".xml"))))
+    return parsed.select(F.col("id").cast("long").alias("doc_id"), F.length("description").cast("long").alias("n_chars"))
+
+
 @query(f"SELECT doc_id, 'none' AS side FROM documents WHERE false")
 def compare_consistency(spark, sf_dir):
     """Set plan and flag plan agree."""

@@ -28,6 +28,11 @@ def read_events(spark: SparkSession, folder: str, max_files: int | None = None)
     files = files.select(F.col("_metadata.file_name").alias("file_name"), "value")
     if max_files is not None:
         files = files.orderBy("file_name").limit(max_files)
+    return parse_events(files)
+
+
+def parse_events(files: DataFrame) -> DataFrame:
+    """The events of files(file_name, value) with a description."""
     parsed = files.select("file_name", F.from_xml("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"))
     described = parsed.where(F.coalesce(F.length("e.description"), F.lit(0)) > 0)
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
