@@ -110,7 +110,7 @@ class Index:
         if not found:
             return none
         text, item, at, q, score = found[0]
-        order = np.lexsort((at, -score, item, text))
+        order = np.lexsort((q, at, -score, item, text))
         text, item, at, q, score = (x[order] for x in (text, item, at, q, score))
         first = np.ones(len(text), bool)
         first[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])

@@ -73,10 +73,24 @@ FROM embeddings e LEFT JOIN least l ON e.vec_id = l.a LEFT JOIN n ON e.vec_id =
 """
 
 
+#: Windows by their words, occurrences counted, covered places out; ids are unique in the table.
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, p, md5(array_to_string(ws[p:p + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS p FROM w)),
+rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+cov AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM win SEMI JOIN rep ON win.h = rep.h),
+word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.i) AS t, count(*) AS n
+         FROM word ANTI JOIN cov ON word.doc_id = cov.doc_id AND word.i = cov.i GROUP BY word.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 QUERIES = {
     "op4_embedding_tiles": op4_embedding_tiles,
     "op5_substring_debruijn": op5_substring_debruijn,
     "op6_line_windows": op6_line_windows,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
-ORACLES: dict[str, str] = {"op4_embedding_tiles": OP4_SQL, "op6_line_windows": OP6_SQL}
+ORACLES: dict[str, str] = {"op5_substring_debruijn": OP5_SQL, "op4_embedding_tiles": OP4_SQL, "op6_line_windows": OP6_SQL}
