@@ -139,12 +139,16 @@ def is_stopword(t: Column, words) -> Column:
 REASONS = ("underscores_only", "special", "punctuation", "number", "stopword", "short")
 
 
-def removal_reason(t: Column, config: AnalyzerConfig) -> Column:
-    """Why a token goes: the first rule that holds, or null."""
-    reason = F.when(is_only_underscores(t), "underscores_only").when(is_special(t), "special")
-    if config.remove_punctuation:
+def removal_reason(t: Column, config: AnalyzerConfig, letters: bool = False) -> Column:
+    """Why a token goes: the first rule that holds, or null.
+
+    ``letters`` says that tokens are runs of lower-case letters: they hold no sign or
+    digit, and of the special marks only one, so fewer rules need to look.
+    """
+    reason = F.when(is_only_underscores(t), "underscores_only").when(t.contains("http") if letters else is_special(t), "special")
+    if config.remove_punctuation and not letters:
         reason = reason.when(is_punctuation(t), "punctuation")
-    if config.remove_numbers:
+    if config.remove_numbers and not letters:
         reason = reason.when(is_number(t), "number")
     if config.remove_stopwords and config.stopwords:
         reason = reason.when(is_stopword(t, config.stopwords), "stopword")

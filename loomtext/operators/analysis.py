@@ -20,10 +20,14 @@ def raw_tokens(docs: DataFrame, config: AnalyzerConfig, id_col: str = "doc_id",
     return docs.select(F.col(id_col).alias("doc_id"), T.tokens(text, config.profile).alias("raw"))
 
 
+def _reason(token, config: AnalyzerConfig):
+    return T.removal_reason(token, config, config.profile == "letters" and not config.merge_phrases)
+
+
 def judged_tokens(docs: DataFrame, config: AnalyzerConfig, **columns) -> DataFrame:
     """(doc_id, token, reason) by token; ``reason`` is null for those that stay."""
     exploded = raw_tokens(docs, config, **columns).select("doc_id", F.explode("raw").alias("token"))
-    return exploded.withColumn("reason", T.removal_reason(F.col("token"), config))
+    return exploded.withColumn("reason", _reason(F.col("token"), config))
 
 
 def filter_counts(docs: DataFrame, config: AnalyzerConfig, **columns) -> DataFrame:
@@ -43,7 +47,7 @@ def analyze(docs: DataFrame, config: AnalyzerConfig | None = None, id_col: str =
     """(doc_id, tokens): each document's terms in order (T9). No shuffle; one array expression without stemming."""
     config = config or AnalyzerConfig()
     raw = raw_tokens(docs, config, id_col, text_col)
-    kept = F.filter("raw", lambda t: T.removal_reason(t, config).isNull())
+    kept = F.filter("raw", lambda t: _reason(t, config).isNull())
     if config.stem and not config.lemmatize:
         # The stemmer is a pandas function, which arrays' lambdas can't call.
         position = raw.select("doc_id", F.posexplode_outer(kept).alias("pos", "token"))
@@ -66,7 +70,7 @@ def lemmatized(tokens: DataFrame, lexicon: DataFrame, tags: DataFrame | None = N
 def pipeline_totals(docs: DataFrame, config: AnalyzerConfig, **columns) -> DataFrame:
     """Documents, tokens before and after, and the reduction in percent."""
     sizes = raw_tokens(docs, config, **columns).select(
-        F.size("raw").cast("long").alias("before"), F.size(F.filter("raw", lambda t: T.removal_reason(t, config).isNull())).cast("long").alias("after")
+        F.size("raw").cast("long").alias("before"), F.size(F.filter("raw", lambda t: _reason(t, config).isNull())).cast("long").alias("after")
     )
     return sizes.agg(
         F.count("*").alias("documents"), F.sum("before").alias("original_tokens"), F.sum("after").alias("final_tokens"),

@@ -111,10 +111,14 @@ def export_index(lists: DataFrame, dictionary_path: str, lists_path: str, encode
     return write_lists(((r["term"], r["doc_ids"]) for r in rows), dictionary_path, lists_path, encode)
 
 
+def _entry(numbered: tuple[bytes, int]) -> tuple[str, int, int, int]:
+    term, count, pointer = RECORD.unpack(bytes(numbered[0]))
+    return term.rstrip(b"\0").decode("utf-8", "ignore"), count, pointer, numbered[1]
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(term, doc_freq, pointer) of a fixed-record dictionary; of equal cut terms the last wins."""
-    records = spark.sparkContext.binaryRecords(path, RECORD.size).zipWithIndex()
-    rows = records.map(lambda r: (*RECORD.unpack(bytes(r[0])), r[1])).map(lambda r: (r[0].rstrip(b"\0").decode("utf-8", "ignore"), r[1], r[2], r[3]))
+    rows = spark.sparkContext.binaryRecords(path, RECORD.size).zipWithIndex().map(_entry)
     df = spark.createDataFrame(rows, "term string, doc_freq long, pointer long, at long")
     last = df.groupBy("term").agg(F.max(F.struct("at", "doc_freq", "pointer")).alias("x"))
     return last.select("term", "x.doc_freq", "x.pointer")
