@@ -15,7 +15,8 @@ compacted before anything is shuffled:
    repeat. Both sets travel back as bitmaps of fixed size. A wrong bit only lets
    through a path, or edges, without repeats.
 3. Paths of equal content are compacted by one aggregation: if two or more
-   occur, each of their edges is a repeat, with no work by edge.
+   occur, each of their edges is a repeat, with no work by edge. Adjoining equal
+   paths of a document, as a word said over and over makes them, are one row.
 4. The remaining paths branch: they share a minimizer with other content. Only
    they, and one copy of each repeated path, are laid out as edges, joined on
    (minimizer, edge) to find the edges that two or more paths hold.
@@ -88,20 +89,31 @@ def paths_of(document: np.ndarray, words: np.ndarray, bounds: np.ndarray, k: int
     return own[first], begin - bounds[own[first]], count, grams[place[first]], content, windows
 
 
+def _runs(document: np.ndarray, first: np.ndarray, count: np.ndarray, minimizer: np.ndarray, content) -> tuple[np.ndarray, np.ndarray]:
+    """(first path, paths) of each run of adjoining equal paths, as a word said over and over makes them."""
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(len(first), bool)
+    new[1:] = (document[1:] != document[:-1]) | (first[1:] != first[:-1] + count[:-1]) | (minimizer[1:] != minimizer[:-1]) | (content[0][1:] != content[0][:-1]) | (content[1][1:] != content[1][:-1])
+    heads = np.flatnonzero(new)
+    return heads, np.diff(np.append(heads, len(first)))
+
+
 def _paths(docs: DataFrame, k: int, m: int):
-    """All paths as (minimizer, content), for counting."""
+    """All paths as (minimizer, content, times), for counting."""
 
     def run(batches):
         for part in slices(batches, "text"):
-            _, _, _, minimizer, content, _ = paths_of(*words_of(part.column(0)), k, m)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (minimizer, content[0])], names=["mh", "c1"])
+            document, first, count, minimizer, content, _ = paths_of(*words_of(part.column(0)), k, m)
+            heads, times = _runs(document, first, count, minimizer, content)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[heads].view(np.int64)) for x in (minimizer, content[0])), pa.array(times)], names=["mh", "c1", "times"])
 
-    return docs.select("text").mapInArrow(run, "mh long, c1 long")
+    return docs.select("text").mapInArrow(run, "mh long, c1 long, times long")
 
 
 def shared_minimizers(docs: DataFrame, k: int, m: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bitmaps of 2**bits bits: minimizers of two or more paths, and those whose paths differ in content."""
-    seen = _paths(docs, k, m).groupBy("mh").agg(F.count("*").alias("n"), F.min("c1").alias("low"), F.max("c1").alias("high")).where("n > 1")
+    seen = _paths(docs, k, m).groupBy("mh").agg(F.sum("times").alias("n"), F.min("c1").alias("low"), F.max("c1").alias("high")).where("n > 1")
     slot = F.shiftrightunsigned(F.xxhash64("mh"), 64 - bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
     # At most 2**(bits-6) rows of two 64-bit words reach the driver, whatever the input.
@@ -138,20 +150,23 @@ def _candidates(docs: DataFrame, k: int, m: int, shared, bits: int, with_windows
         seen, differ = shared.value
         for part in slices(batches, "text"):
             document, first, count, minimizer, content, windows = paths_of(*words_of(part.column(2)), k, m)
-            slot = _xxh64_of_long(minimizer) >> np.uint64(64 - bits)
-            keep = _member(seen, slot)
+            heads, times = _runs(document, first, count, minimizer, content)
+            slot = _xxh64_of_long(minimizer[heads]) >> np.uint64(64 - bits)
+            known = _member(seen, slot)
+            slot, times, keep = slot[known], times[known], heads[known]
             arrays = [pa.array(x[keep].view(np.int64)) for x in (minimizer, *content)]
-            arrays += [part.column(0).take(pa.array(document[keep])), part.column(1).take(pa.array(document[keep])), pa.array(first[keep].astype(np.int32)), pa.array(count[keep].astype(np.int32))]
-            names = ["mh", "c1", "c2", "id", "tk", "at", "n"]
+            arrays += [part.column(0).take(pa.array(document[keep])), part.column(1).take(pa.array(document[keep])), pa.array(first[keep].astype(np.int32)), pa.array((count[keep] * times).astype(np.int32)), pa.array(times)]
+            names = ["mh", "c1", "c2", "id", "tk", "at", "n", "times"]
             if with_windows:
-                laid = keep & _member(differ, slot)
+                laid = np.zeros(len(first), bool)
+                laid[keep] = _member(differ, slot)
                 flat = windows[np.repeat(laid, count)]
                 offsets = np.concatenate([[0], np.cumsum(np.where(laid, count, 0)[keep])]).astype(np.int32)
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))))
                 names.append("ws")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = "mh long, c1 long, c2 long, id long, tk long, at int, n int" + ", ws array<long>" * with_windows
+    schema = "mh long, c1 long, c2 long, id long, tk long, at int, n int, times long" + ", ws array<long>" * with_windows
     return docs.mapInArrow(run, schema)
 
 
@@ -162,7 +177,7 @@ def repeated_spans(docs: DataFrame, k: int = 35, m: int = GRAM, bitmap_bits: int
     path = ["mh", "c1", "c2"]
     whole = _candidates(docs, k, m, shared, bitmap_bits, True)
     # All copies of a path hold the same windows, so min() takes any.
-    compact = whole.groupBy(*path).agg(F.count("*").alias("copies"), F.min("ws").alias("ws"), F.min("id").alias("id"), F.min("tk").alias("tk"), F.min("at").alias("at"))
+    compact = whole.groupBy(*path).agg(F.sum("times").alias("copies"), F.min("ws").alias("ws"), F.min("id").alias("id"), F.min("tk").alias("tk"), F.min("at").alias("at"))
     compact = checkpointed(compact)
     branching = compact.select("mh", "id", "tk", "at", "copies", F.posexplode("ws").alias("i", "w"))
     meet = branching.groupBy("mh", "w").agg(
