@@ -185,8 +185,10 @@ def _sparse(df: DataFrame, vocabulary: np.ndarray) -> DataFrame:
 
 def _dense(rows: pa.Table, columns: int) -> np.ndarray:
     out = np.zeros((rows.num_rows, columns), np.float32)
-    for i, (at, count) in enumerate(zip(rows.column("features").to_pylist(), rows.column("counts").to_pylist(), strict=True)):
-        out[i, at] = np.log1p(count)
+    if rows.num_rows:
+        lists = rows.column("features").combine_chunks()
+        row = np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy()))
+        out[row, lists.flatten().to_numpy()] = np.log1p(rows.column("counts").combine_chunks().flatten().to_numpy())
     return out
 
 
