@@ -28,6 +28,8 @@ from .common import WORD, checkpointed
 BLOCK = 32
 #: Documents of a shard, about.
 SHARD_DOCS = 1024
+#: Parts in which the documents of a source meet what is known of it.
+SALTS = 64
 
 
 def words(text: Column) -> Column:
@@ -93,13 +95,15 @@ def mix_sources(
     sources = sources.withColumn("seats", F.floor(F.sum("target").over(Window.partitionBy()) / block + 0.5).cast("long"))
     sources = sainte_lague(sources, ["one"], "target", "key", "seats")
     sources = checkpointed(sources.select("key", "source_size", "target", F.col("quota").alias("source_quota"), F.ceil(F.col("docs") / SHARD_DOCS).cast("long").alias("shards")))
-    dealt = sized.withColumn("seed", _seeded("doc", F.col("id"), seed)).join(sources.select("key", "shards"), "key")
-    dealt = dealt.withColumn("shard", F.pmod(_number("seed"), F.col("shards"))).drop("shards")
-    shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("words")).join(sources.select("key", "source_quota"), "key")
+    # A source may hold most rows: each source is laid out SALTS times, and its documents meet one of the copies.
+    copies = sources.select("key", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    dealt = sized.withColumn("seed", _seeded("doc", F.col("id"), seed)).withColumn("salt", F.pmod(F.xxhash64("seed"), F.lit(SALTS)))
+    dealt = dealt.join(copies, ["key", "salt"]).withColumn("shard", F.pmod(_number("seed"), F.col("shards"))).drop("shards", "salt")
+    shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("words")).join(sources.select("key", "source_size", "target", "source_quota"), "key")
     shards = sainte_lague(shards, ["key"], "words", "shard", "source_quota")
     blocks = F.greatest(F.ceil(F.col("words") / block), F.lit(1)).cast("long")
     shards = shards.withColumn("blocks", blocks).select(
-        "key", "shard", "blocks",
+        "key", "shard", "blocks", "source_size", "target",
         F.least(F.expr("quota div blocks"), F.lit(repeat)).cast("long").alias("times"),
         F.when(F.expr("quota div blocks") >= repeat, 0).otherwise(F.expr("quota % blocks")).cast("long").alias("extra"),
         F.pmod(_number(_seeded("block", F.concat_ws(":", "key", "shard"), seed)), F.col("blocks")).alias("offset"),
@@ -114,5 +118,4 @@ def mix_sources(
         return (steps(j) - steps(F.lit(0).cast("long"))) * block + (steps(j + 1) - steps(j)) * (x - j * block)
 
     taken = F.col("times") * F.col("size") + before(F.col("to")) - before(F.col("to") - F.col("size"))
-    out = laid.select("key", "id", "tk", "size", taken.cast("long").alias("taken"))
-    return out.join(sources.select("key", "source_size", "target"), "key").select("id", "tk", "size", "source_size", "target", "taken")
+    return laid.select("id", "tk", "size", "source_size", "target", taken.cast("long").alias("taken"))
