@@ -62,16 +62,17 @@ def fingerprints_of(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp) with one row per input row; ``fp`` is the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, *keep: str) -> DataFrame:
+    """(id, fp) with one row per input row, and the long columns of ``keep``; ``fp`` is the fingerprint as a signed 64-bit integer."""
 
     def run(batches):
         for part in slices(batches, "text", 1 << 19):
             fp = fingerprints_of(text_bytes(part.column(1)), shingle, seed)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), *part.columns[2:]], names=["id", "fp", *keep])
 
     bounded_batches(session_of(docs))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep]
+    return docs.select(*columns).mapInArrow(run, ", ".join(f"{n} long" for n in ("id", "fp", *keep)))
 
 
 class BKTree:
@@ -174,22 +175,42 @@ def hex_of(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """(id, fp, component_id) with one row per row of ``docs``."""
+def _prints_and_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, seed: int, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of ``docs``, and (fp, first_id, component) of each distinct one."""
     if not 0 <= radius < BLOCKS:
         raise ValueError(f"radius must be from 0 to {BLOCKS - 1}")
     # Cut here: fingerprints are dear, and both the search and the result read them.
-    prints = checkpointed(fingerprints(docs, id_col, text_col, shingle, seed))
+    prints = checkpointed(fingerprints(docs, id_col, text_col, shingle, seed, *keep))
     distinct = prints.groupBy("fp").agg(F.min("id").alias("first_id"))
     members = connected_components(links(distinct.select("fp"), radius))
-    labelled = distinct.join(members, distinct.fp == members.id, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    return prints, distinct.join(members, distinct.fp == members.id, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """(id, fp, component_id) with one row per row of ``docs``."""
+    prints, labelled = _prints_and_groups(docs, id_col, text_col, shingle, radius, seed)
     smallest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return prints.join(labelled.join(smallest, "component").select("fp", "component_id"), "fp")
 
 
-def simhash_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group: the one of the smallest id (rows with a null id go unless alone in their group)."""
-    groups = simhash_groups(docs, id_col, text_col, **options)
-    gone = groups.where(~F.col("component_id").eqNullSafe(F.col("id")) & F.col("id").isNotNull()).select("id").distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == gone["id"], "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+def one_of_each(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of ``members(id, tk, component)``, where ``tk`` is the XXH64 of the text.
+
+    The one of the smallest id stays, null ids last, then of the smallest
+    ``tk``. Rows are told apart by id and text: others of its id stay, and of
+    rows equal in both one stays.
+    """
+    rows = members.select("id", "tk", "component").distinct()
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk")).alias("first"))
+    gone = rows.join(first, "component").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tk") == F.col("first.tk"))))
+    gone = gone.select(F.col("id").alias("__gone_id"), F.col("tk").alias("__gone_tk"))
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__tk": F.xxhash64(text_col)})
+    kept = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__tk") == F.col("__gone_tk")), "left_anti")
+    return kept.dropDuplicates(["__id", "__tk"]).drop("__id", "__tk")
+
+
+def simhash_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """``docs`` with one document of each group: the one of the smallest id (rows with a null id go unless their group has no other; then one stays)."""
+    prints, labelled = _prints_and_groups(docs.withColumn("__tk", F.xxhash64(text_col)), id_col, text_col, shingle, radius, seed, "__tk")
+    members = prints.join(labelled, "fp").select("id", F.col("__tk").alias("tk"), "component")
+    return one_of_each(docs, members, id_col, text_col)

@@ -127,6 +127,15 @@ def test_simhash_groups(spark):
     assert [r["component_id"] for r in nulls] == [7, 7, 7]
 
 
+def test_simhash_deduplicate_null_and_repeated_ids(spark):
+    a, b, c, d = ("one two three four five", "quite another text stands here", "nothing like the others at all", "some last words of nobody")
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, d), (None, d), (7, None), (None, a), (8, c), (8, c)]
+    kept = simhash.simhash_deduplicate(frame(spark, [t for _, t in rows], [i for i, _ in rows]))
+    assert kept.columns == ["doc_id", "text", "id", "tk"]
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (5, b), (None, d), (7, None), (8, c)], key=str)
+
+
 def test_bk_shards_find_every_link(spark):
     rng = random.Random(3)
     centres = [rng.getrandbits(64) for _ in range(25)]
