@@ -17,7 +17,7 @@ from loomtext.llm.common import crc_mod, table
 from loomtext.llm.decontaminate import decontaminate
 from loomtext.llm.line_dedup import deduplicate_lines
 from loomtext.llm.mixing import mix_sources
-from loomtext.llm.simhash import simhash_deduplicate
+from loomtext.llm.shingle_dedup import shingle_deduplicate
 from loomtext.llm.toxicity import train, with_toxicity
 
 
@@ -36,8 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that of the smallest doc_id."""
-    return simhash_deduplicate(docs).select(*docs.columns)
+    """One document of each group of near copies (5-word Jaccard of 0.8 or more) stays: that of the smallest doc_id."""
+    return shingle_deduplicate(docs, shingle=5, threshold=0.8).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from loomtext.llm import decontaminate, line_dedup, simhash, substring_dedup, vector_dedup
+from loomtext.llm import decontaminate, line_dedup, shingle_dedup, simhash, substring_dedup, vector_dedup
 from loomtext.llm.common import words_of
 from loomtext.llm.components import connected_components
 
@@ -136,6 +136,53 @@ def test_simhash_deduplicate_null_and_repeated_ids(spark):
     assert sorted(got, key=str) == sorted([(1, a), (5, b), (None, d), (7, None), (8, c)], key=str)
 
 
+def grams_by_hand(text, k=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
+
+
+def near_copies(seed=8):
+    """Texts with planted copies of which one word in twelve to thirty is changed, chains among them."""
+    rng = random.Random(seed)
+    texts = [None, "", "  \n", "a b", "A b", "a b c d e", "a b c d e f"]
+    for _ in range(40):
+        words = [f"v{rng.randrange(500)}" for _ in range(rng.randint(30, 300))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 4)):
+            for _ in range(rng.randint(1, 1 + len(words) // 60)):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(words).upper() if rng.random() < 0.2 else " ".join(words))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_near_dedup_stage_finds_planted_near_copies(spark):
+    import corpus_pipeline as cp
+
+    texts = near_copies()
+    sets = [grams_by_hand(t) for t in texts]
+    linked = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    prints = [fingerprint_by_hand(t) for t in texts]
+    assert sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in linked) > 20
+    kept = cp.near_dedup(spark, frame(spark, texts), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(components_by_hand(len(texts), linked)))
+    assert shingle_dedup.shingle_deduplicate(frame(spark, [])).count() == 0
+    rows = [(1, texts[0]), (5, texts[0]), (5, "another text of the same id"), (None, "of nobody but alone"), (None, texts[0])]
+    kept = shingle_dedup.shingle_deduplicate(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([rows[0], *rows[2:4]], key=str)
+
+
+def test_linker_joins_what_pairs_join():
+    rng = random.Random(5)
+    base = [rng.sample(range(100), 40) for _ in range(4)]
+    sets = sorted({tuple(sorted(set(rng.choice(base)) - set(rng.sample(range(100), 12)) | set(rng.sample(range(100), rng.randint(0, 3))))) for _ in range(80)}, key=len)
+    linker = shingle_dedup.Linker(0.8)
+    found = [e for i, s in enumerate(sets) for e in linker.add(i, np.array(s, np.uint64))]
+    linked = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.8]
+    label = components_by_hand(len(sets), linked)
+    assert 1 < len(set(label)) < len(sets) and components_by_hand(len(sets), found) == label
+
+
 def test_bk_shards_find_every_link(spark):
     rng = random.Random(3)
     centres = [rng.getrandbits(64) for _ in range(25)]
