@@ -31,12 +31,15 @@ def html_unescape(text) -> Column:
     return F.pandas_udf(_unescaped, "string")(text)
 
 
-def clean_markup(text: Column) -> Column:
-    """Line breaks for br and p tags, no other tags, no runs of blank lines, no white space around."""
-    text = F.regexp_replace(text, r"<br\s*/?>|</?p>", "\n")
+def clean_markup(text: Column, flags: str = "") -> Column:
+    """Line breaks for br and p tags, no other tags, no runs of blank lines, no white space around.
+
+    White space is ASCII, or Unicode's with the flags ``(?U)``.
+    """
+    text = F.regexp_replace(text, flags + r"<br\s*/?>|</?p>", "\n")
     text = F.regexp_replace(text, r"<[^>]+>", "")
-    text = F.regexp_replace(text, r"\n\s*\n\s*\n+", "\n\n")
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    text = F.regexp_replace(text, flags + r"\n\s*\n\s*\n+", "\n\n")
+    return F.regexp_replace(text, flags + r"^\s+|\s+\z", "")
 
 
 # --------------------------------------------------------------- tokenising

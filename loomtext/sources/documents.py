@@ -36,7 +36,7 @@ def parse_events(files: DataFrame) -> DataFrame:
     parsed = files.select("file_name", F.from_xml("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"))
     described = parsed.where(F.coalesce(F.length("e.description"), F.lit(0)) > 0)
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return described.select("file_name", blank("e.id").alias("id"), blank("e.name").alias("name"), blank("e.time").alias("time"), blank("e.venue.name").alias("venue_name"), X.clean_markup(X.html_unescape("e.description")).alias("description"))
+    return described.select("file_name", blank("e.id").alias("id"), blank("e.name").alias("name"), blank("e.time").alias("time"), blank("e.venue.name").alias("venue_name"), X.clean_markup(X.html_unescape("e.description"), "(?U)").alias("description"))
 
 
 def event_documents(events: DataFrame) -> DataFrame:

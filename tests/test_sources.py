@@ -1,5 +1,9 @@
 """Readers, writers, streaming and the command line."""
 
+import html
+import re
+
+from loomtext import queries
 from loomtext.config import SkipConfig
 from loomtext.operators import analysis, index
 from loomtext.sources import binary, documents
@@ -22,6 +26,23 @@ def test_events(spark, tmp_path):
     assert documents.read_events(spark, str(tmp_path), 1).count() <= 1
 
 
+def test_xml_events_cover_all_documents(spark, tmp_path):
+    texts = [
+        "plain", "Tom &amp; <b>Jerry</b><br/>end", "a\n \n\n\n b\n", "&nbsp;a&nbsp;\n&nbsp;\n\nb&nbsp;", "&lt;p&gt;x&lt;/p&gt;", "&amp;lt;i&amp;gt;", "1 < 2 & 3 > 2", "<b\n>x</b", "<p>a<br / >b<BR>",
+        "<b></b>", "a ]]> b", "caf\u00e9 &eacute; \U0001f600", "a\r\nb", "a\x01b", None, "",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def by_hand(text):
+        text = html.unescape(text)
+        for pattern, new in ((r"<br\s*/?>", "\n"), ("<p>", "\n"), ("</p>", "\n"), (r"<[^>]+>", ""), (r"\n\s*\n\s*\n+", "\n\n")):
+            text = re.sub(pattern, new, text)
+        return text.strip()
+
+    got = {r["doc_id"]: r["n_chars"] for r in queries.QUERIES["xml_events"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(by_hand(t)) for i, t in enumerate(texts) if t}
+
+
 def test_token_files(spark, tmp_path):
     docs = spark.createDataFrame([(1, ["b", "a", "b"]), (2, ["c"])], "doc_id long, tokens array<string>")
     documents.write_token_files(docs, str(tmp_path / "t"))
