@@ -21,10 +21,11 @@ compacted before anything is shuffled:
    they, and one copy of each repeated path, are laid out as edges, joined on
    (minimizer, edge) to find the edges that two or more paths hold.
 5. The source coordinates of repeated paths and edges go back to the documents,
-   where adjoining spans are merged, checked against the words of the document
-   and cut out.
+   where adjoining spans are merged and cut out.
 
-Edges are compared by 128 bits (minimizer and window hash), paths by 192 bits.
+Edges are compared by 128 bits (minimizer and window hash), paths by 192 bits,
+both made of one 64-bit hash a word. Words themselves are never compared: spans
+are not verified against another occurrence of the repeat.
 No key is ever gathered: hot paths and edges only meet partial aggregates and
 skew-splittable joins.
 
