@@ -8,18 +8,21 @@ from .common import table
 from .secrets import joined, scan, train
 
 
-def ordinary_words(docs, documents: int = 1000):
-    """Words of letters from a bounded sample of documents, as labelled ordinary strings."""
-    # Ids first: texts would travel to the one task that takes the least of all partitions' candidates.
-    chosen = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    sample = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
-    return sample.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where(F.col("word").rlike("^[A-Za-z]{6,}$"))
+def ordinary_words(docs):
+    """(word, n) of the words of letters of all documents, as labelled ordinary strings."""
+    words = docs.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where(F.col("word").rlike("^[A-Za-z]{6,}$"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def words_weight(docs, documents: int = 1000) -> float:
+    """What a word counts so that all documents weigh as much as ``documents`` of them: else strings made by rule would fade as the input grows."""
+    return min(1.0, documents / max(docs.count(), 1))
 
 
 def op2_secrets_markov(spark, sf_dir):
     """One row per document: counts of the base forms, the digest of their spans, and all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = scan(docs, table=train(spark, ordinary_words(docs)))
+    out = scan(docs, table=train(spark, ordinary_words(docs), words_weight(docs)))
     base = F.filter("secrets", lambda x: x["kind"] != "random")
     count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))

@@ -88,18 +88,22 @@ def labelled_strings(n: int = 400, seed: int = 2) -> tuple[list[str], list[str]]
     return random, ordinary
 
 
-def train(spark: SparkSession, ordinary_words: DataFrame | None = None) -> list[float]:
+def train(spark: SparkSession, ordinary_words: DataFrame | None = None, weight: float = 1.0) -> list[float]:
     """Bits that the transition from ALPHABET[i] to ALPHABET[j] speaks for a random string, at i * size + j.
 
-    ``ordinary_words(word)`` adds labelled ordinary strings; the caller bounds it.
+    ``ordinary_words(word, n)`` adds ordinary strings that occur n times, each occurrence counted as ``weight``.
     """
     random, ordinary = labelled_strings()
     given = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit("\n".join(v)).alias("all")) for k, v in (("r", random), ("o", ordinary))])).alias("x"))
-    strings = given.select("x.kind", F.explode(F.split("x.all", "\n")).alias("s"))
+    strings = given.select("x.kind", F.explode(F.split("x.all", "\n")).alias("s"), F.lit(1).cast("long").alias("n"))
     if ordinary_words is not None:
-        strings = strings.union(ordinary_words.select(F.lit("o"), "word"))
-    pairs = strings.where(F.length("s") > 1).select("kind", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, 2))).alias("pair"))
-    counts = {(r["kind"], r["pair"]): r["n"] for r in pairs.groupBy("kind", "pair").agg(F.count("*").alias("n")).collect() if all(c in ALPHABET for c in r["pair"])}
+        strings = strings.union(ordinary_words.select(F.lit("w"), "word", "n"))
+    pairs = strings.where(F.length("s") > 1).select("kind", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, 2))).alias("pair"))
+    counts = {(r["kind"], r["pair"]): r["n"] for r in pairs.groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect() if all(c in ALPHABET for c in r["pair"])}
+    # Whole counts meet their weight here, so that sums don't hang on their order.
+    for (kind, pair), n in list(counts.items()):
+        if kind == "w":
+            counts["o", pair] = counts.get(("o", pair), 0) + weight * n
     size = len(ALPHABET)
     out = []
     for a in ALPHABET:

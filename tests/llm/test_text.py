@@ -49,6 +49,19 @@ def test_secret_spans(spark):
     assert secrets.scan(df.limit(0), table=table).count() == 0
 
 
+def test_markov_words_of_all_documents(spark):
+    from loomtext.llm.queries_text import ordinary_words, words_weight
+
+    texts = [f"{a}{b}common short {a}{b}common, x9common" for a in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]
+    docs = spark.createDataFrame([(None if i % 50 == 0 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").cache()
+    got = {r["word"]: r["n"] for r in ordinary_words(docs).collect()}
+    assert len(texts) > 1000 and got == {t.split()[0]: 1 for t in texts}
+    # The same text ten times over makes the same model, as the words' weight stays.
+    more = docs.crossJoin(spark.range(10).select())
+    one, ten = (secrets.train(spark, ordinary_words(d), words_weight(d)) for d in (docs, more))
+    assert words_weight(docs) == 1000 / len(texts) and max(abs(a - b) for a, b in zip(one, ten, strict=True)) < 1e-9
+
+
 def test_markov_models_tell_held_out_strings_apart(spark):
     table = secrets.train(spark)
     random_ones, ordinary = secrets.labelled_strings(60, seed=99)
