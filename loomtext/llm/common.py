@@ -7,9 +7,6 @@ partition.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,17 +33,29 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``."""
+    context = session_of(df).sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(session_of(df)))
+    return df.checkpoint(eager=True)
+
 
-    A local folder is set only where the setting is absent, as in tests.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: that of ``spark.checkpoint.dir``, else ``loomtext-checkpoints`` in the warehouse.
+
+    Driver and executors share both; a folder of one machine is never taken.
     """
-    spark = session_of(df)
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        configured = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "loomtext-checkpoints"))
-    return df.checkpoint(eager=True)
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomtext-checkpoints"
+
 
+def unused(df: DataFrame, stem: str = "__") -> str:
+    """A prefix that no column of ``df`` begins with, so that helper columns clash with none."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(stem) for c in taken):
+        stem += "_"
+    return stem
 
 
 # --------------------------------------------------------------- Arrow slices
