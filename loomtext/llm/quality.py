@@ -1,22 +1,25 @@
 """A quality classifier learnt from preferences (Bradley-Terry).
 
-A text is a row of surface statistics: the rates of character classes and of each
-ASCII punctuation sign, of words that repeat the word before, the length of words
-and of the text. Pairs of a preferred (label 1) and another (label 0) labelled
-text are drawn with a seed; the probability that the first wins is the logistic
-of the difference of their scores, so logistic loss on feature differences fits
-the score. A document is good from a quantile of the scores on: the one that
-leaves as large a share below as label 0 has. ``score`` is the logistic of the
-distance to that threshold, so it is 0.5 there.
-
-Bounds: ``per_class`` labelled rows of each class and ``pairs`` pairs are fitted.
-Scoring reads every text whole, in one pass without a shuffle.
+A text is a row of numbers: surface statistics (the rates of character classes and
+of each ASCII punctuation sign, of words that repeat the word before, the length
+of words and of the text) and the rates of those words and word pairs whose
+document rates differ most between the labels. Pairs of a preferred (label 1) and
+another (label 0) labelled text are drawn with a seed; the probability that the
+first wins is the logistic of the difference of their scores, so logistic loss on
+feature differences fits the score. A document is good from a quantile of the
+scores on: the one that leaves as large a share below as label 0 has. ``score`` is
+the logistic of the distance to that threshold, so it is 0.5 there.
+
+Bounds: ``per_class`` labelled rows of each class, one an id, ``pairs`` pairs and
+``terms`` words and word pairs are fitted. Scoring reads every text whole, in one
+pass without a shuffle.
 
 Cases: a null text is scored as an empty one; labels other than 0 and 1 (null
 included), null ids and labels without a document are not learnt from; repeated
-labels count once, the larger label winning; with fewer than two classes every
-score is that class (0.5 without labels); all rows and other columns stay, but
-for columns named ``score`` and ``predicted``, which are replaced.
+labels count once, the larger label winning; of several rows of an id the one of
+the smallest text hash is learnt from; with fewer than two classes every score is
+that class (0.5 without labels); all rows and other columns stay, but for columns
+named ``score`` and ``predicted``, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,19 +30,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_binary, bounded_batches, session_of, slices, words_of
-from .toxicity import labelled_sample
+from .common import MATCH_CLASS, MATCH_FOLD, as_binary, bounded_batches, checkpointed, mix, session_of, slices, words_of
+from .toxicity import counts_of, labelled_sample, telling_parts
 
 _SIGNS = np.array([ord(c) for c in string.punctuation])
 _GROUPS = [
     np.arange(ord("A"), ord("Z") + 1), np.arange(ord("a"), ord("z") + 1), np.arange(ord("0"), ord("9") + 1),
     np.array([32]), np.array([10]), np.array([0, *range(1, 10), *range(11, 32), 127]), np.arange(128, 256), _SIGNS,
 ]
-N_FEATURES = len(_GROUPS) + len(_SIGNS) + 5
+N_SURFACE = len(_GROUPS) + len(_SIGNS) + 5
+#: Against the standardised surface statistics, a term that makes up a hundredth of a text counts so much.
+TERM_SCALE = 0.5
 
 
-def features_of(column: pa.Array) -> np.ndarray:
-    """(texts, N_FEATURES) surface statistics."""
+def terms_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every word, folded to lower case, and of every two words in a row."""
+    document, words, _ = words_of(column, MATCH_CLASS, MATCH_FOLD)
+    pair = np.flatnonzero(document[1:] == document[:-1])
+    pairs = mix(words[pair] * np.uint64(0x9E3779B97F4A7C15) + words[pair + 1])
+    return np.concatenate([document, document[pair]]), np.concatenate([words, pairs])
+
+
+def features_of(column: pa.Array, vocabulary: np.ndarray | None = None) -> np.ndarray:
+    """(texts, N_SURFACE + terms): surface statistics, then the rates of the sorted term hashes of ``vocabulary``."""
+    surface = surface_of(column)
+    if vocabulary is None or not len(vocabulary):
+        return surface
+    document, feature, count = counts_of(column, vocabulary, terms_of)
+    rates = np.zeros((len(column), len(vocabulary)))
+    total = np.bincount(words_of(column, MATCH_CLASS, MATCH_FOLD)[0], minlength=len(column))
+    rates[document, feature] = TERM_SCALE * np.log1p(100 * count / total[document])
+    return np.hstack([surface, rates])
+
+
+def surface_of(column: pa.Array) -> np.ndarray:
+    """(texts, N_SURFACE) surface statistics."""
     text = as_binary(column).fill_null(b"")
     n = len(text)
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + n + 1]
@@ -79,16 +104,16 @@ def bradley_terry(good: np.ndarray, bad: np.ndarray, pairs: int = 20000, l2: flo
 
 
 class Quality:
-    """A fitted model: centre and scale of the features, weights, threshold and slope; ``fixed`` overrides all."""
+    """A fitted model: term hashes, centre and scale of the features, weights and threshold; ``fixed`` overrides all."""
 
-    def __init__(self, centre=None, scale=None, weights=None, threshold=0.0, slope=1.0, fixed: float | None = None):
-        self.centre, self.scale, self.weights, self.threshold, self.slope, self.fixed = centre, scale, weights, threshold, slope, fixed
+    def __init__(self, vocabulary=None, centre=None, scale=None, weights=None, threshold=0.0, fixed: float | None = None):
+        self.vocabulary, self.centre, self.scale, self.weights, self.threshold, self.fixed = vocabulary, centre, scale, weights, threshold, fixed
 
     def score(self, column: pa.Array) -> np.ndarray:
         if self.fixed is not None:
             return np.full(len(column), self.fixed)
-        raw = (features_of(column) - self.centre) / self.scale @ self.weights
-        return 1 / (1 + np.exp(-np.clip(self.slope * (raw - self.threshold), -30, 30)))
+        raw = (features_of(column, self.vocabulary) - self.centre) / self.scale @ self.weights
+        return 1 / (1 + np.exp(-np.clip(raw - self.threshold, -30, 30)))
 
 
 def weighted_quantile(values: np.ndarray, weights: np.ndarray, share: float) -> float:
@@ -99,29 +124,35 @@ def weighted_quantile(values: np.ndarray, weights: np.ndarray, share: float) ->
     return float((values[at] + values[min(at + 1, len(values) - 1)]) / 2)
 
 
-def fit_quality(x: np.ndarray, y: np.ndarray, share_bad: float, pairs: int = 20000, seed: int = 1) -> Quality:
+def fit_quality(x: np.ndarray, y: np.ndarray, share_bad: float, pairs: int = 20000, seed: int = 1, vocabulary: np.ndarray | None = None) -> Quality:
+    # Surface statistics are standardised; terms, most of them rare, keep their own scale.
     centre, scale = x.mean(0), x.std(0) + 1e-3
+    centre[N_SURFACE:], scale[N_SURFACE:] = 0, 1
     z = (x - centre) / scale
     w = bradley_terry(z[y == 1], z[y == 0], pairs, seed=seed)
     raw = z @ w
     weight = np.where(y == 0, share_bad / (y == 0).sum(), (1 - share_bad) / (y == 1).sum())
-    return Quality(centre, scale, w, weighted_quantile(raw, weight, share_bad))
+    return Quality(vocabulary, centre, scale, w, weighted_quantile(raw, weight, share_bad))
 
 
 def train_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    per_class: int = 4000, pairs: int = 20000, seed: int = 1,
+    per_class: int = 4000, pairs: int = 20000, seed: int = 1, terms: int = 200,
 ) -> Quality:
     """Fit on a bounded sample of ``docs`` that ``labels`` covers."""
     bounded_batches(session_of(docs))
     sample, sizes = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
     if len(sizes) < 2:
         return Quality(fixed=float(next(iter(sizes))) if sizes else 0.5)
+    # Cut here: all documents are read for it, and what follows needs the sample alone.
+    sample = checkpointed(sample)
+    vocabulary = telling_parts(sample, terms, terms_of)
+    width = N_SURFACE + len(vocabulary)
 
     def run(batches):
         for part in slices(batches, "text"):
-            x = features_of(part.column(0))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))
+            x = features_of(part.column(0), vocabulary)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), part.column(2), lists], names=["label", "id", "x"])
 
     rows = sample.select("text", "label", sample["id"].cast("string").alias("id")).mapInArrow(run, "label int, id string, x array<double>").toArrow()
@@ -129,8 +160,8 @@ def train_quality(
     y = rows.column("label").to_numpy()
     if not {0, 1} <= set(y.tolist()):
         return Quality(fixed=0.5)
-    x = np.array(rows.column("x").combine_chunks().flatten()).reshape(-1, N_FEATURES)
-    return fit_quality(x, y, sizes[0] / (sizes[0] + sizes[1]), pairs, seed)
+    x = np.array(rows.column("x").combine_chunks().flatten()).reshape(-1, width)
+    return fit_quality(x, y, sizes[0] / (sizes[0] + sizes[1]), pairs, seed, vocabulary)
 
 
 def with_quality(docs: DataFrame, model: Quality, text_col: str = "text") -> DataFrame:
