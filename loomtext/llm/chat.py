@@ -16,8 +16,12 @@ over the formatted text that cover what assistants say, and nothing else.
 Cases: a null text is empty, a null role is the empty role; turns are ordered by
 turn (nulls first), then role, then text, so repeated rows stay and tie nowhere;
 rows with a null conversation id form one conversation; a text that isn't a JSON
-list of parts is plain text; unknown kinds of parts become ``<|file|>``;
-other columns are ignored.
+list of well-formed parts is plain text as a whole (a part is an object with a
+text ``type``; its ``text`` and ``url`` are text or null, its ``tokens`` an
+integer from 0 to 2**63 - 1 or null, and no text has a lone surrogate); a part's
+own token count goes before the kind's, but counts beyond 2**63 - 1 in all make
+the conversation's sum stop there; unknown kinds of parts become ``<|file|>``; an
+empty list of parts is plain text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,7 +73,7 @@ class Visitor:
         self.size += len(text)
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part['type']}", self.visit_file)(part)
+        (self.visit_text if part["type"] == "text" else self.visit_file)(part)
 
     def visit_text(self, part: dict) -> None:
         self.put(escape(part.get("text") or ""))
@@ -77,7 +81,7 @@ class Visitor:
     def visit_file(self, part: dict) -> None:
         kind = part["type"] if part["type"] in PLACEHOLDERS else "file"
         tokens = part.get("tokens")
-        self.attachments.append({"kind": kind, "reference": str(part.get("url") or part.get("id") or ""), "at": self.size, "tokens": int(TOKENS[kind] if tokens is None else tokens)})
+        self.attachments.append({"kind": kind, "reference": part.get("url") or str(part.get("id") or ""), "at": self.size, "tokens": TOKENS[kind] if tokens is None else tokens})
         self.put(PLACEHOLDERS.get(kind, "<|file|>"))
 
     def turn(self, role: str, parts: list[dict]) -> None:
@@ -93,14 +97,32 @@ class Visitor:
         return "".join(self.out)
 
 
+#: The largest token count, which is the largest long.
+MOST = (1 << 63) - 1
+
+
+def _plain(value) -> bool:
+    """A text without lone surrogates, or null."""
+    return value is None or isinstance(value, str) and not any("\ud800" <= c <= "\udfff" for c in value)
+
+
+def _well_formed(part) -> bool:
+    if not isinstance(part, dict) or not isinstance(part.get("type"), str):
+        return False
+    tokens, key = part.get("tokens"), part.get("id")
+    counted = tokens is None or isinstance(tokens, int) and not isinstance(tokens, bool) and 0 <= tokens <= MOST
+    named = _plain(key) or isinstance(key, int) and abs(key) <= MOST
+    return counted and named and all(_plain(part.get(name)) for name in ("type", "text", "url"))
+
+
 def parts_of(content: str | None, typed: bool = True) -> list[dict]:
-    """The parts of a message: those of a JSON list of typed parts, else one text part."""
+    """The parts of a message: those of a JSON list of well-formed typed parts, else one text part."""
     if typed and content and content.lstrip()[:1] == "[":
         try:
             parts = json.loads(content)
         except (ValueError, RecursionError):
             parts = None
-        if isinstance(parts, list) and parts and all(isinstance(p, dict) and isinstance(p.get("type"), str) and isinstance(p.get("text") or "", str) for p in parts):
+        if isinstance(parts, list) and parts and all(map(_well_formed, parts)):
             return parts
     return [{"type": "text", "text": content or ""}]
 
@@ -132,7 +154,7 @@ def format_conversations(turns: DataFrame, typed: bool = True) -> DataFrame:
             for conv, all_turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 visitor = format_turns([(t["role"], t["text"]) for t in all_turns], typed)
                 loss = [{"start": a, "end": b} for a, b in visitor.loss]
-                for name, value in zip(names, (conv, len(all_turns), visitor.text(), loss, visitor.attachments, sum(a["tokens"] for a in visitor.attachments)), strict=True):
+                for name, value in zip(names, (conv, len(all_turns), visitor.text(), loss, visitor.attachments, min(MOST, sum(a["tokens"] for a in visitor.attachments))), strict=True):
                     rows[name].append(value)
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
