@@ -13,9 +13,12 @@ place and met again by an equi-join whose hot side Spark can split; nothing
 is gathered by window. Only the places to remove are gathered by document.
 
 Cases: null texts stay null with no lines; texts with fewer than three lines
-stay; repeated rows are repeats, told apart by row only in that all equal rows
-(id and text) count as one; rows with equal or null ids are told apart by their
-text; other columns are kept as they are.
+stay; rows with equal or null ids (null before all others) are told apart by
+their text; of rows equal in both, one counts as the first, whose windows are
+judged as those of any row, and each further one loses every line that a window
+covers (they are told apart by their place in the input, which must read the same
+twice, as files do); other columns are kept as they are, but for columns named
+``n_lines`` and ``n_removed`` (after ``prefix``), which are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 SIZE = 3
 
 
@@ -55,31 +60,36 @@ def later_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return place.join(first, ["h1", "h2"]).where(~F.struct("id", "tk", "at").eqNullSafe(F.col("first"))).select("id", "tk", "at")
 
 
-def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """``docs`` with ``text_col`` less its removed lines, and ``n_lines`` and ``n_removed`` added."""
-    names = docs.columns
-    docs = docs.withColumns({"__tk": F.xxhash64(F.col(text_col)), "__id": F.col(id_col)})
-    unique = docs.select(F.col("__id").alias("id"), F.col("__tk").alias("tk"), F.col(text_col).alias("text"))
-    later = later_windows(unique, size)
+def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, prefix: str = "") -> DataFrame:
+    """``docs`` with ``text_col`` less its removed lines, and ``n_lines`` and ``n_removed`` (after ``prefix``) added."""
+    docs = docs.drop(f"{prefix}n_lines", f"{prefix}n_removed")
+    names, own = docs.columns, unused(docs)
+    id_, tk, row, at, copy = (f"{own}{n}" for n in ("id", "tk", "row", "at", "copy"))
+    docs = docs.withColumns({tk: F.xxhash64(F.col(text_col)), id_: F.col(id_col), row: F.monotonically_increasing_id()})
+    plain = docs.select(F.col(id_).alias("id"), F.col(tk).alias("tk"), F.col(text_col).alias("text"))
     # No more places than lines in the document.
-    gone = later.groupBy("id", "tk").agg(F.collect_set("at").alias("__at")).withColumnsRenamed({"id": "__gone_id", "tk": "__gone_tk"})
-    joined = docs.join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__tk") == F.col("__gone_tk")), "left")
+    gone = later_windows(plain, size).groupBy("id", "tk").agg(F.collect_set("at").alias("at"))
+    rows = docs.groupBy(F.col(id_).alias("id"), F.col(tk).alias("tk")).agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
+    both = gone.select("id", "tk", "at", F.lit(None).cast("long").alias("first")).union(rows.select("id", "tk", F.lit(None), "first"))
+    known = both.groupBy("id", "tk").agg(F.first("at", True).alias(at), F.first("first", True).alias(copy)).withColumnsRenamed({"id": f"{own}gone_id", "tk": f"{own}gone_tk"})
+    joined = docs.join(known, F.col(id_).eqNullSafe(F.col(f"{own}gone_id")) & (F.col(tk) == F.col(f"{own}gone_tk")), "left")
     # inline() keeps each step's arrays from being computed again for every element of the next.
-    hit = F.col("__at").isNotNull()
-    lines = _once(joined, __lines=F.when(hit, _lines(F.col(text_col))))
-    places = _once(
-        lines,
-        __places=F.transform(_filled(F.col("__lines")), lambda x: x["i"]),
-        __covered=F.array_distinct(F.flatten(F.transform(F.col("__at"), lambda a: F.sequence(a, a + size - 1)))),
-    )
-    dropped = F.transform(F.col("__covered"), lambda c: F.col("__places")[c])
-    kept = _once(places, __kept=F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), dropped))
-    text = F.array_join(F.transform(F.col("__kept"), lambda p: F.col("__lines")[p]), "\n")
-    count = F.length(F.col(text_col)) - F.length(F.replace(F.col(text_col), F.lit("\n"))) + 1
+    again = F.coalesce(F.col(row) != F.col(copy), F.lit(False))
+    lines = _once(joined, **{f"{own}lines": F.when(F.col(at).isNotNull() | again, _lines(F.col(text_col)))})
+    places = _once(lines, **{f"{own}places": F.transform(_filled(F.col(f"{own}lines")), lambda x: x["i"])})
+    count = F.size(f"{own}places")
+    every = F.when(count >= size, F.sequence(F.lit(0), count - 1))
+    some = F.array_distinct(F.flatten(F.transform(F.col(at), lambda a: F.sequence(a, a + size - 1))))
+    covered = _once(places, **{f"{own}covered": F.when(again, every).otherwise(some)})
+    hit = F.col(f"{own}covered").isNotNull()
+    dropped = F.transform(F.col(f"{own}covered"), lambda c: F.col(f"{own}places")[c])
+    kept = _once(covered, **{f"{own}kept": F.array_except(F.sequence(F.lit(0), F.size(f"{own}lines") - 1), dropped)})
+    text = F.array_join(F.transform(F.col(f"{own}kept"), lambda p: F.col(f"{own}lines")[p]), "\n")
+    lines_of = F.length(F.col(text_col)) - F.length(F.replace(F.col(text_col), F.lit("\n"))) + 1
     return kept.select(
         *[F.when(hit, text).otherwise(F.col(n)).alias(n) if n == text_col else F.col(n) for n in names],
-        F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(hit, F.size("__covered")), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(lines_of, F.lit(0)).cast("long").alias(f"{prefix}n_lines"),
+        F.coalesce(F.when(hit, F.size(f"{own}covered")), F.lit(0)).cast("long").alias(f"{prefix}n_removed"),
     )
 
 
