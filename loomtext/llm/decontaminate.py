@@ -16,9 +16,14 @@ The benchmark is read in blocks of ``block_words`` words at most (one item at
 least), and each block is joined with all documents: that bounds what a
 worker and the driver hold, and benchmarks of any size take the same path.
 
+Hits are spread out and verified in chunks of ``CHUNK``, of which only the best
+window of each text and item stays, so a seed that recurs any number of times on
+both sides takes time but no memory.
+
 Cases: null and empty texts have no words; repeated rows are found each by
-itself; null ids are carried; benchmarks without usable items find nothing;
-other columns are ignored (``find_leaks``) or kept (``decontaminate``).
+itself; ids of any type, null among them, are carried; benchmarks without usable
+items find nothing; other columns are ignored (``find_leaks``) or kept
+(``decontaminate``).
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import MATCH_CLASS, MATCH_FOLD, bounded_batches, mix, session_of, slices, words_of
 
@@ -37,6 +43,8 @@ WINDOW, SHORTEST = 16, 8
 #: Fixed masks: positions that count. The first two serve items of 16 words or more, the others shorter ones.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 3, 4), (0, 1, 2, 4), (0, 1, 2, 3))
 BITS = 22
+#: Hits that one step verifies.
+CHUNK = 1 << 15
 
 
 def masked(words: np.ndarray, which: int) -> np.ndarray:
@@ -81,9 +89,8 @@ class Index:
             maps.append(slots)
         return cls(ids, words, bounds, seeds, places, maps)
 
-    def hits(self, document: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the documents' words, place in the items' words) that agree under a mask."""
-        mine, theirs = [], []
+    def hits(self, document: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Chunks of (place in the documents' words, place in the items' words) that agree under a mask."""
         for which, mask in enumerate(MASKS):
             if not len(self.seeds[which]):
                 continue
@@ -91,53 +98,53 @@ class Index:
             at = np.flatnonzero(self.maps[which][own >> np.uint64(64 - BITS)])
             at = at[at + mask[-1] < bounds[document[at] + 1]]
             low = np.searchsorted(self.seeds[which], own[at], "left")
-            many = np.searchsorted(self.seeds[which], own[at], "right") - low
-            p = np.repeat(at, many)
-            within = np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many)
-            mine.append(p)
-            theirs.append(self.places[which][np.repeat(low, many) + within])
-        if not mine:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(mine), np.concatenate(theirs)
+            ends = np.cumsum(np.searchsorted(self.seeds[which], own[at], "right") - low)
+            for begin in range(0, int(ends[-1]) if len(ends) else 0, CHUNK):
+                # Hit number n is of the first place whose running count of hits is above n.
+                n = np.arange(begin, min(begin + CHUNK, int(ends[-1])))
+                of = np.searchsorted(ends, n, "right")
+                before = np.where(of > 0, ends[of - 1], 0)
+                yield at[of], self.places[which][low[of] + n - before]
 
     def leaks(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, first word in the text, first word in the item, words that agree), the best window of each pair."""
         document, words, bounds = words_of(column, MATCH_CLASS, MATCH_FOLD)
-        none = (np.zeros(0, np.int64),) * 5
+        best = (np.zeros(0, np.int64),) * 5
         if not len(words) or not len(self.words):
-            return none
-        found = [self._verified(p, q, document, words, bounds) for p, q in [self.hits(document, words, bounds)] if len(p)]
-        if not found:
-            return none
-        text, item, at, q, score = found[0]
+            return best
+        for p, q in self.hits(document, words, bounds):
+            found = self._verified(p, q, document, words, bounds)
+            if len(found[0]):
+                best = self._best(*(np.concatenate(x) for x in zip(best, found, strict=True)))
+        return best
+
+    def _best(self, text, item, at, q, score):
         order = np.lexsort((q, at, -score, item, text))
         text, item, at, q, score = (x[order] for x in (text, item, at, q, score))
         first = np.ones(len(text), bool)
         first[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
         return tuple(x[first] for x in (text, item, at, q, score))
 
-    def _verified(self, p, q, document, words, bounds):
-        owner = np.searchsorted(self.bounds, q, "right") - 1
+    def _verified(self, hp, hq, document, words, bounds):
+        ho = np.searchsorted(self.bounds, hq, "right") - 1
+        size = np.minimum(np.diff(self.bounds)[ho], WINDOW)
         out = []
-        for low in range(0, len(p), 1 << 15):
-            hp, hq, ho = (x[low : low + (1 << 15)] for x in (p, q, owner))
-            size = np.minimum(np.diff(self.bounds)[ho], WINDOW)
-            for w in np.unique(size):
-                these = size == w
-                a, b, o = hp[these], hq[these], ho[these]
-                d = document[a]
-                steps = np.arange(-(w - 1), w)
-                x, y = a[:, None] + steps, b[:, None] + steps
-                valid = (x >= bounds[d][:, None]) & (x < bounds[d + 1][:, None]) & (y >= self.bounds[o][:, None]) & (y < self.bounds[o + 1][:, None])
-                same = valid & (words[np.where(valid, x, 0)] == self.words[np.where(valid, y, 0)])
-                sums = lambda m: np.cumsum(np.pad(m.astype(np.int16), ((0, 0), (1, 0))), axis=1)
-                agree, inside = (s[:, w:] - s[:, :-w] for s in (sums(same), sums(valid)))
-                agree = np.where(inside == w, agree, -1)
-                best = agree.argmax(1)
-                score = agree[np.arange(len(a)), best]
-                yes = score >= w - w // 5
-                shift = (best - (w - 1))[yes]
-                out.append((d[yes], o[yes], a[yes] + shift - bounds[d[yes]], b[yes] + shift - self.bounds[o[yes]], score[yes].astype(np.int64)))
+        for w in np.unique(size):
+            these = size == w
+            a, b, o = hp[these], hq[these], ho[these]
+            d = document[a]
+            steps = np.arange(-(w - 1), w)
+            x, y = a[:, None] + steps, b[:, None] + steps
+            valid = (x >= bounds[d][:, None]) & (x < bounds[d + 1][:, None]) & (y >= self.bounds[o][:, None]) & (y < self.bounds[o + 1][:, None])
+            same = valid & (words[np.where(valid, x, 0)] == self.words[np.where(valid, y, 0)])
+            sums = lambda m: np.cumsum(np.pad(m.astype(np.int16), ((0, 0), (1, 0))), axis=1)
+            agree, inside = (s[:, w:] - s[:, :-w] for s in (sums(same), sums(valid)))
+            agree = np.where(inside == w, agree, -1)
+            best = agree.argmax(1)
+            score = agree[np.arange(len(a)), best]
+            yes = score >= w - w // 5
+            shift = (best - (w - 1))[yes]
+            out.append((d[yes], o[yes], a[yes] + shift - bounds[d[yes]], b[yes] + shift - self.bounds[o[yes]], score[yes].astype(np.int64)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -164,15 +171,17 @@ def find_leaks(
     """(doc_id, item_id, doc_word, item_word, n_equal): each contaminated row with each of its items, and the best window."""
     spark = session_of(docs)
     bounded_batches(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, doc_word long, item_word long, n_equal long"
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    items = benchmark.schema[item_col].dataType
+    item_type = to_arrow_type(items)
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.simpleString()}, doc_word long, item_word long, n_equal long"
     out = spark.createDataFrame([], schema)
     for index in blocks(benchmark, id_col=item_col, text_col=item_text_col, block_words=block_words):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
             index = shared.value
-            item_ids = pa.array(index.ids, pa.int64())
+            item_ids = pa.array(index.ids, item_type)
             for part in slices(batches, "text"):
                 text, item, at, place, score = index.leaks(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), item_ids.take(pa.array(item)), *map(pa.array, (at, place, score))], names=["doc_id", "item_id", "doc_word", "item_word", "n_equal"])
