@@ -13,8 +13,10 @@ words in taken blocks, repeats counted. Everything past the word count runs on
 
 Cases: null texts have size 0 and take nothing; a null source is a source of
 its own, after all others; sources without words get target 0; repeated rows
-are taken each by itself, in a defined order up to their equality; null ids order
-as empty text; an empty table gives an empty result; other columns are ignored.
+are taken each by itself, in a defined order up to their equality (``row_col``
+names a column that tells them apart, where the caller needs to know which is
+which); null ids order as empty text; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,18 +85,20 @@ def sainte_lague(rows: DataFrame, group: list[str], by: str, key: str, seats: st
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeat: int = 2, block: int = BLOCK, seed: int = 9,
+    shard_docs: int = SHARD_DOCS, row_col: str | None = None,
 ) -> DataFrame:
-    """(id, tk, size, source_size, target, taken) with one row per row of ``docs``; ``tk`` is the text's hash."""
+    """(id, tk, size, source_size, target, taken) with one row per row of ``docs``; ``tk`` is the text's hash. With ``row_col`` also ``row``, its value."""
+    extra = ["row"] if row_col else []
     key = F.coalesce(F.concat(F.lit("a"), F.col(source_col).cast("string")), F.lit("b"))
     text = F.col(text_col)
-    sized = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), key.alias("key"), words(text).alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), key.alias("key"), words(text).alias("size"), *[F.col(row_col).alias(r) for r in extra])
     # Cut here: counting words reads all text, and the rest needs only these small rows.
     sized = checkpointed(sized)
     sources = sized.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     sources = water_fill(sources, weights, share, repeat).withColumn("one", F.lit(1))
     sources = sources.withColumn("seats", F.floor(F.sum("target").over(Window.partitionBy()) / block + 0.5).cast("long"))
     sources = sainte_lague(sources, ["one"], "target", "key", "seats")
-    sources = checkpointed(sources.select("key", "source_size", "target", F.col("quota").alias("source_quota"), F.ceil(F.col("docs") / SHARD_DOCS).cast("long").alias("shards")))
+    sources = checkpointed(sources.select("key", "source_size", "target", F.col("quota").alias("source_quota"), F.ceil(F.col("docs") / shard_docs).cast("long").alias("shards")))
     # A source may hold most rows: each source is laid out SALTS times, and its documents meet one of the copies.
     copies = sources.select("key", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     dealt = sized.withColumn("seed", _seeded("doc", F.col("id"), seed)).withColumn("salt", F.pmod(F.xxhash64("seed"), F.lit(SALTS)))
@@ -108,7 +112,7 @@ def mix_sources(
         F.when(F.expr("quota div blocks") >= repeat, 0).otherwise(F.expr("quota % blocks")).cast("long").alias("extra"),
         F.pmod(_number(_seeded("block", F.concat_ws(":", "key", "shard"), seed)), F.col("blocks")).alias("offset"),
     )
-    row = Window.partitionBy("key", "shard").orderBy("seed", "tk", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    row = Window.partitionBy("key", "shard").orderBy("seed", "tk", "id", *extra).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = dealt.withColumn("to", F.sum("size").over(row)).join(shards, ["key", "shard"])
 
     def before(x: Column) -> Column:
@@ -118,4 +122,4 @@ def mix_sources(
         return (steps(j) - steps(F.lit(0).cast("long"))) * block + (steps(j + 1) - steps(j)) * (x - j * block)
 
     taken = F.col("times") * F.col("size") + before(F.col("to")) - before(F.col("to") - F.col("size"))
-    return laid.select("id", "tk", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return laid.select("id", "tk", "size", "source_size", "target", taken.cast("long").alias("taken"), *extra)
