@@ -1,6 +1,5 @@
 """Duplicate finders against brute force on small, awkward inputs."""
 
-import hashlib
 import itertools
 import random
 from collections import Counter
@@ -10,8 +9,8 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from loomtext.llm import decontaminate, line_dedup, shingle_dedup, simhash, substring_dedup, vector_dedup
-from loomtext.llm.common import words_of
+from loomtext.llm import bktree, decontaminate, line_dedup, simhash, simhash_similar, substring_dedup, vector_dedup
+from loomtext.llm.common import unused, words_of
 from loomtext.llm.components import connected_components
 
 DOCS = "doc_id long, text string, id string, tk long"
@@ -68,14 +67,19 @@ def test_substring_dedup_empty_and_repeated_ids(spark):
     assert sorted((r["id"] is None, r["n_words"], r["n_removed"]) for r in got) == [(False, 40, 0), (False, 40, 40), (True, 1, 0), (True, 40, 40)]
 
 
+def test_unused_prefix(spark):
+    assert unused(spark.createDataFrame([(1, 2)], "__a int, __ int")) == "___"
+    assert unused(spark.createDataFrame([(1, 2)], "a int, _b int")) == "__"
+
+
 def lines_by_hand(rows):
-    """{row: (n_lines, n_removed, text)}; rows are (id, text) in order."""
+    """(n_lines, n_removed, text) of each row; rows are (id, text) in order, equal rows next to each other."""
     seen, out = set(), []
     filled = []
     for _, text in rows:
         lines = text.split("\n") if text is not None else []
         filled.append([(i, x) for i, x in enumerate(lines) if any(c not in " \t\n\x0b\x0c\r" for c in x)])
-    for (_, text), own in zip(rows, filled, strict=True):
+    for at, ((_, text), own) in enumerate(zip(rows, filled, strict=True)):
         gone = set()
         for p in range(len(own) - 2):
             key = tuple(x for _, x in own[p : p + 3])
@@ -98,6 +102,24 @@ def test_line_dedup(spark):
     assert line_dedup.deduplicate_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_repeated_rows_null_ids_and_clashing_columns(spark):
+    """Equal rows are told apart; ids may be null or equal; columns named as the operator's own are replaced or kept."""
+    a, b, c = "k\nl\nm\nn", "k\nl\nm\nother\nlines", "x\ny"
+    rows = [(None, a), (None, a), (1, b), (1, a), (1, a), (2, c), (2, c), (3, None), (3, None), (4, "\n".join("pqrs" * 3))]
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    expected = sorted(((r[0], *h) for r, h in zip(sorted(rows, key=order), lines_by_hand(sorted(rows, key=order)), strict=True)), key=str)
+    # Which of two different texts of id 1 comes first is settled by a hash; both lose what the rows without id have.
+    schema = "doc_id long, text string, n_lines string, n_removed string, __at int, __tk string, id int"
+    docs = spark.createDataFrame([(*r, "old", "old", 7, "kept", 8) for r in rows], schema)
+    out = line_dedup.deduplicate_lines(docs)
+    assert out.columns == ["doc_id", "text", "__at", "__tk", "id", "n_lines", "n_removed"]
+    got = out.collect()
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in got), key=str) == expected
+    assert {(r["__at"], r["__tk"], r["id"]) for r in got} == {(7, "kept", 8)}
+    other = line_dedup.deduplicate_lines(docs, prefix="p_")
+    assert other.columns == [*docs.columns, "p_n_lines", "p_n_removed"]
+
+
 def fingerprint_by_hand(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
@@ -166,9 +188,9 @@ def test_near_dedup_stage_finds_planted_near_copies(spark):
     assert sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in linked) > 20
     kept = cp.near_dedup(spark, frame(spark, texts), "").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(components_by_hand(len(texts), linked)))
-    assert shingle_dedup.shingle_deduplicate(frame(spark, [])).count() == 0
+    assert simhash.simhash_deduplicate(frame(spark, []), shingle=5, similarity=0.8).count() == 0
     rows = [(1, texts[0]), (5, texts[0]), (5, "another text of the same id"), (None, "of nobody but alone"), (None, texts[0])]
-    kept = shingle_dedup.shingle_deduplicate(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    kept = simhash.simhash_deduplicate(frame(spark, [t for _, t in rows], [i for i, _ in rows]), shingle=5, similarity=0.8).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([rows[0], *rows[2:4]], key=str)
 
 
@@ -176,13 +198,28 @@ def test_linker_joins_what_pairs_join():
     rng = random.Random(5)
     base = [rng.sample(range(100), 40) for _ in range(4)]
     sets = sorted({tuple(sorted(set(rng.choice(base)) - set(rng.sample(range(100), 12)) | set(rng.sample(range(100), rng.randint(0, 3))))) for _ in range(80)}, key=len)
-    linker = shingle_dedup.Linker(0.8)
-    found = [e for i, s in enumerate(sets) for e in linker.add(i, np.array(s, np.uint64))]
+    linker = simhash_similar.Linker(0.8)
+    hashes = [np.sort(np.array([xxhash.xxh64_intdigest(str(x)) for x in s], np.uint64)) for s in sets]
+    prints = simhash_similar.simhashes(hashes).tolist()
+    found = [e for i, (fp, own) in enumerate(zip(prints, hashes, strict=True)) for e in linker.add(i, fp, own)]
     linked = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.8]
     label = components_by_hand(len(sets), linked)
     assert 1 < len(set(label)) < len(sets) and components_by_hand(len(sets), found) == label
 
 
+def test_simhash_radius_holds_similar_sets():
+    """Sets at 0.8 differ in fewer bits than the radius, small sets too; unrelated ones mostly in more."""
+    rng = np.random.default_rng(7)
+    far = []
+    for n in (5, 9, 10, 45, 90, 900):
+        for _ in range(60):
+            common, own, theirs = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n * 8 // 9 if n > 5 else 4, n // 9 if n > 5 else 1, n // 9))
+            a, b = simhash_similar.simhashes([np.concatenate([common, own]), np.concatenate([common, theirs])]).tolist()
+            assert (a ^ b).bit_count() < simhash_similar.RADIUS
+            far.append((a ^ int(rng.integers(0, 1 << 63, dtype=np.uint64))).bit_count())
+    assert np.mean(np.array(far) > simhash_similar.RADIUS) > 0.5
+
+
 def test_bk_shards_find_every_link(spark):
     rng = random.Random(3)
     centres = [rng.getrandbits(64) for _ in range(25)]
@@ -192,7 +229,7 @@ def test_bk_shards_find_every_link(spark):
     place = {v: i for i, v in enumerate(signed)}
     linked = [(a, b) for a, b in itertools.combinations(range(len(values)), 2) if (values[a] ^ values[b]).bit_count() <= 2]
     assert components_by_hand(len(values), [(place[r["a"]], place[r["b"]]) for r in found]) == components_by_hand(len(values), linked)
-    tree = simhash.BKTree()
+    tree = bktree.BKTree()
     for v in values:
         tree.add(v)
     assert all(sorted(tree.within(v, 3)) == [i for i, x in enumerate(values) if (x ^ v).bit_count() <= 3] for v in values[:40])
@@ -253,12 +290,26 @@ def test_masks_lose_nothing():
 
 
 def leaks_by_hand(texts, items):
+    """Pairs (text, item), by the equal words on each diagonal."""
     words = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c if c.isalnum() or ord(c) > 127 else " " for c in t or "").split()
     out = set()
-    for (i, t), (j, b) in itertools.product(enumerate(map(words, texts)), enumerate(map(words, items))):
+    for j, b in enumerate(map(words, items)):
         w = min(16, len(b))
-        if w >= 8 and any(sum(x == y for x, y in zip(t[p : p + w], b[q : q + w], strict=True)) >= w - w // 5 for p in range(len(t) - w + 1) for q in range(len(b) - w + 1)):
-            out.add((i, j))
+        if w < 8:
+            continue
+        for i, t in enumerate(map(words, texts)):
+            at = {}
+            for q, x in enumerate(b):
+                at.setdefault(x, []).append(q)
+            diagonals = {}
+            for p, x in enumerate(t):
+                for q in at.get(x, ()):
+                    diagonals.setdefault(p - q, set()).add(p)
+            for d, hit in diagonals.items():
+                starts = range(max(0, d), min(len(t), len(b) + d) - w + 1)
+                if len(hit) >= w - w // 5 and any(sum(p in hit for p in range(s, s + w)) >= w - w // 5 for s in starts):
+                    out.add((i, j))
+                    break
     return out
 
 
@@ -285,5 +336,13 @@ def test_decontamination(spark, block_words):
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
 
 
-def test_digest_of_nothing():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+def test_decontamination_of_recurring_seeds_and_text_ids(spark, monkeypatch):
+    """A seed that recurs on both sides is verified in chunks; ids of any type come back."""
+    monkeypatch.setattr(decontaminate, "CHUNK", 7)
+    index = decontaminate.Index.of(["a", None, "c"], ["la " * 40, "do re mi fa so la ti do " * 3, "la la"])
+    text, item, *_ = index.leaks(pa.array(["la " * 50 + "do re mi fa so la ti do " * 2, None, "x " * 30, "LA, " * 16]))
+    assert sorted(zip(text.tolist(), item.tolist(), strict=True)) == [(0, 0), (0, 1), (3, 0)]
+    docs = spark.createDataFrame([("first", "la " * 20), (None, "la " * 20), ("other", "x")], "doc_id string, text string")
+    bench = spark.createDataFrame([("song", "la " * 18)], "item_id string, text string")
+    got = decontaminate.find_leaks(docs, bench).collect()
+    assert sorted(((r["doc_id"], r["item_id"], r["n_equal"]) for r in got), key=str) == [("first", "song", 16), (None, "song", 16)]
