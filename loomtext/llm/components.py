@@ -1,11 +1,11 @@
-"""Connected components of a graph given as an edge table."""
+"""Connected components of a graph given as an edge table, and what stays of each."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, unused
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -33,3 +33,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def one_of_each(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of ``members(id, tk, component)``, where ``tk`` is the XXH64 of the text.
+
+    The one of the smallest id stays, null ids last, then of the smallest
+    ``tk``. Rows are told apart by id and text: others of its id stay, and of
+    rows equal in both one stays.
+    """
+    own = unused(docs)
+    id_, tk = f"{own}id", f"{own}tk"
+    rows = members.select("id", "tk", "component").distinct()
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk")).alias("first"))
+    gone = rows.join(first, "component").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tk") == F.col("first.tk"))))
+    gone = gone.select(F.col("id").alias(f"{own}gone_id"), F.col("tk").alias(f"{own}gone_tk"))
+    keyed = docs.withColumns({id_: F.col(id_col).cast("long"), tk: F.xxhash64(text_col)})
+    kept = keyed.join(gone, F.col(id_).eqNullSafe(F.col(f"{own}gone_id")) & (F.col(tk) == F.col(f"{own}gone_tk")), "left_anti")
+    return kept.dropDuplicates([id_, tk]).drop(id_, tk)

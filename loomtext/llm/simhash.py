@@ -29,8 +29,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bktree import BKTree
 from .common import bounded_batches, checkpointed, session_of, slices, text_bytes
-from .components import connected_components
+from .components import connected_components, one_of_each
+from .simhash_similar import similar_groups
 
 BLOCKS = 8
 WIDTH = 64 // BLOCKS
@@ -75,39 +77,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(*columns).mapInArrow(run, ", ".join(f"{n} long" for n in ("id", "fp", *keep)))
 
 
-class BKTree:
-    """A BK-tree over integers under the Hamming distance."""
-
-    def __init__(self):
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def add(self, value: int) -> None:
-        at, new = 0, len(self.values)
-        self.values.append(value)
-        self.children.append({})
-        while at != new:
-            at = self.children[at].setdefault((self.values[at] ^ value).bit_count(), new)
-
-    def within(self, value: int, radius: int):
-        """Positions of the members within the radius of ``value``."""
-        todo = [0] if self.values else []
-        while todo:
-            at = todo.pop()
-            d = (self.values[at] ^ value).bit_count()
-            if d <= radius:
-                yield at
-            edges = self.children[at]
-            if len(edges) > 2 * radius + 1:
-                todo += [edges[k] for k in range(d - radius, d + radius + 1) if k in edges]
-            else:
-                todo += [to for k, to in edges.items() if -radius <= k - d <= radius]
-
-
 def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints of one shard, found by its BK-tree."""
-    if len(values) == 2:
-        return [(values[0], values[1])] if (values[0] ^ values[1]).bit_count() <= radius else []
     tree, root, out = BKTree(), list(range(len(values))), []
     for new, value in enumerate(values):
         for other in tree.within(value, radius):
@@ -193,24 +164,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(labelled.join(smallest, "component").select("fp", "component_id"), "fp")
 
 
-def one_of_each(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of ``members(id, tk, component)``, where ``tk`` is the XXH64 of the text.
+def simhash_deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42, similarity: float | None = None,
+) -> DataFrame:
+    """``docs`` with one document of each group: the one of the smallest id (null ids after all others; see ``one_of_each``).
 
-    The one of the smallest id stays, null ids last, then of the smallest
-    ``tk``. Rows are told apart by id and text: others of its id stay, and of
-    rows equal in both one stays.
+    With ``similarity`` a group is one of near copies by the Jaccard similarity of their shingles (see ``simhash_similar``),
+    else one of fingerprints within ``radius`` bits.
     """
-    rows = members.select("id", "tk", "component").distinct()
-    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk")).alias("first"))
-    gone = rows.join(first, "component").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tk") == F.col("first.tk"))))
-    gone = gone.select(F.col("id").alias("__gone_id"), F.col("tk").alias("__gone_tk"))
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__tk": F.xxhash64(text_col)})
-    kept = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__tk") == F.col("__gone_tk")), "left_anti")
-    return kept.dropDuplicates(["__id", "__tk"]).drop("__id", "__tk")
-
-
-def simhash_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """``docs`` with one document of each group: the one of the smallest id (rows with a null id go unless their group has no other; then one stays)."""
-    prints, labelled = _prints_and_groups(docs.withColumn("__tk", F.xxhash64(text_col)), id_col, text_col, shingle, radius, seed, "__tk")
+    if similarity is not None:
+        return one_of_each(docs, similar_groups(docs, id_col, text_col, shingle, similarity), id_col, text_col)
+    prints, labelled = _prints_and_groups(docs.select(id_col, text_col, F.xxhash64(text_col).alias("__tk")), id_col, text_col, shingle, radius, seed, "__tk")
     members = prints.join(labelled, "fp").select("id", F.col("__tk").alias("tk"), "component")
     return one_of_each(docs, members, id_col, text_col)
