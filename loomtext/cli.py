@@ -23,9 +23,15 @@ def query_table(spark: SparkSession, texts: list[str], config: Config):
     return raw.join(tokens, "qid")
 
 
+def search(queries, tables: dict, config: Config):
+    """The best documents from the stored tables, of which only the queries' terms are read."""
+    asked = config.retrieval
+    return ranking.search_stored(queries, ranking.pick_terms(queries, tables), asked.top_k, asked.min_similarity, asked.tfidf_method)
+
+
 def missing(path: str) -> list[str]:
     """What of an index isn't there yet."""
-    return [n for n in ("tf", "doc_stats", "dictionary", "positions") if "://" not in path and not os.path.isdir(f"{path}/{n}")]
+    return [n for n in index.TABLES if "://" not in path and not os.path.isdir(f"{path}/{n}")]
 
 
 def interactive(spark: SparkSession, tables: dict, config: Config, lines=sys.stdin, out=sys.stdout) -> None:
@@ -48,7 +54,7 @@ def interactive(spark: SparkSession, tables: dict, config: Config, lines=sys.std
             except ValueError as error:
                 print(error, file=out)
         elif word:
-            found = ranking.search(query_table(spark, [line.strip()], config), tables["tf"], config.retrieval.top_k, config.retrieval.min_similarity, config.retrieval.tfidf_method)
+            found = search(query_table(spark, [line.strip()], config), tables, config)
             for row in found.orderBy("rank").collect():
                 print(f"{row['rank']:>3}. {row['doc_id']}  {row['similarity']:.4f}", file=out)
 
@@ -82,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
         interactive(spark, tables, config)
     elif args.command == "search":
         queries = query_table(spark, args.query, config)
-        found = ranking.search(queries, tables["tf"], config.retrieval.top_k, config.retrieval.min_similarity, config.retrieval.tfidf_method)
+        found = search(queries, tables, config)
         print(reports.retrieval_report(found, queries, as_dict(config.retrieval), args.report))
     else:
         occurrences = tables["positions"].selectExpr("doc_id", "explode(positions) AS pos", "term")

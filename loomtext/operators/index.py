@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..config import IndexConfig
 from ..functions import codec as C
 from ..functions.text import doc_number
+from ..sources.stored import checkpointed
+from .ranking import stored_statistics
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -71,9 +73,11 @@ def _numbered(terms: DataFrame, sizes: list[str]) -> DataFrame:
     """``ordinal`` by term, ``n_terms``, and for each size column the exclusive running sum ``<size>_before``, all across ranges of terms.
 
     Rows are dealt by ranges of terms; each range is numbered by itself and shifted
-    by the totals of the ranges before it. No single task sees all terms.
+    by the totals of the ranges before it. No single task sees all terms. The ranges
+    are cut from a sample, so they are settled once, in a checkpoint: totals and rows
+    that dealt them anew, each for itself, could disagree on where a range ends.
     """
-    ranged = terms.repartitionByRange("term").withColumn("__part", F.spark_partition_id())
+    ranged = checkpointed(terms.repartitionByRange("term").withColumn("__part", F.spark_partition_id()))
     totals = ranged.groupBy("__part").agg(F.count("*").alias("__n"), *[F.sum(s).alias(f"__s_{s}") for s in sizes])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
@@ -179,15 +183,25 @@ def width_report(posting: DataFrame, config: IndexConfig | None = None) -> DataF
     return ids.crossJoin(terms)  # one row each
 
 
+#: The tables of a stored index.
+TABLES = ("tf", "terms", "collection", "doc_stats", "dictionary", "positions")
+
+
 def write_index(docs: DataFrame, path: str) -> None:
-    """All tables of an index as Parquet under ``path``, postings by ranges of terms so that a lookup reads few row groups."""
+    """All tables of an index as Parquet under ``path``, postings and terms by ranges of terms, so that a lookup reads few row groups.
+
+    Document frequencies, the collection's size and each document's norm by method are computed here once, not by search.
+    """
     tf = term_frequencies(docs)
     tf.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/tf")
     tf = docs.sparkSession.read.parquet(f"{path}/tf")
-    document_stats(tf).write.mode("overwrite").parquet(f"{path}/doc_stats")
+    stored = stored_statistics(tf)
+    stored["terms"].repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    for name in ("collection", "doc_stats"):
+        stored[name].write.mode("overwrite").parquet(f"{path}/{name}")
     dictionary(tf.select("term", "doc_id")).write.mode("overwrite").parquet(f"{path}/dictionary")
     positional_postings(docs).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/positions")
 
 
 def read_index(spark, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("tf", "doc_stats", "dictionary", "positions")}
+    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import checkpointed
+
 METHODS = {
     "standard": "tf * ln(N / df)",
     "log": "(1 + ln tf) * ln(N / df)",
@@ -67,50 +69,90 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return tf.withColumn("q_max", F.max("qtf").over(Window.partitionBy("qid")))
 
 
-def query_weights(queries: DataFrame, tf: DataFrame, method: str = "standard") -> DataFrame:
-    """(qid, term, df, qw) of the queries' known terms (R3). Only those terms' frequencies are counted."""
-    wanted = query_terms(queries)
-    df = tf.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rows = wanted.join(df, "term").join(F.broadcast(collection_size(tf)))  # one row
+def statistics(tf: DataFrame, method: str = "standard", norms: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What a search needs, of term frequencies that aren't stored: tf (cut here, as all the rest reads it), terms, collection and doc_stats."""
+    tf = checkpointed(tf)
+    norms = norms if norms is not None else document_norms(tf, method)
+    return {"tf": tf, "terms": document_frequencies(tf), "collection": collection_size(tf), "doc_stats": norms.withColumnRenamed("norm", f"norm_{method}")}
+
+
+def stored_statistics(tf: DataFrame) -> dict[str, DataFrame]:
+    """The tables that an index keeps beside ``tf``: terms (term, df, cf), collection (n_docs), doc_stats with a norm for each method."""
+    terms, stats = document_frequencies(tf), tf.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"), F.max("tf").alias("max_tf"), F.count("*").alias("n_terms"))
+    rows = tf.join(terms.select("term", "df"), "term").join(F.broadcast(collection_size(tf)))  # one row
+    rows = rows.join(stats, "doc_id")
+    square = lambda m: F.pow(weight(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("max_tf"), m), F.lit(2.0))
+    kept = ["doc_len", "max_tf", "n_terms"]
+    doc_stats = rows.groupBy("doc_id", *kept).agg(*[F.sqrt(F.sum(square(m))).alias(f"norm_{m}") for m in METHODS])
+    return {"terms": terms, "collection": collection_size(tf), "doc_stats": doc_stats}
+
+
+def query_weights(queries: DataFrame, tables: dict[str, DataFrame], method: str = "standard") -> DataFrame:
+    """(qid, term, df, qw) of the queries' known terms."""
+    rows = query_terms(queries).join(tables["terms"].select("term", "df"), "term").join(F.broadcast(tables["collection"]))  # one row
     return rows.select("qid", "term", "df", weight(F.col("qtf"), F.col("df"), F.col("n_docs"), F.col("q_max"), method).alias("qw"))
 
 
-def scores(queries: DataFrame, tf: DataFrame, method: str = "standard", norms: DataFrame | None = None) -> DataFrame:
-    """(qid, doc_id, similarity) of documents that share a term with the query."""
-    qw = query_weights(queries, tf, method)
-    rows = tf.join(qw, "term").join(F.broadcast(collection_size(tf)))  # one row
-    rows = rows.join(tf.groupBy("doc_id").agg(F.max("tf").alias("max_tf")), "doc_id") if method == "augmented" else rows.withColumn("max_tf", F.lit(1))
+def scores(queries: DataFrame, tables: dict[str, DataFrame], method: str = "standard") -> DataFrame:
+    """(qid, doc_id, similarity) of documents that share a term with the query (R4): postings of its terms, then norms of the documents found."""
+    qw = query_weights(queries, tables, method)
+    rows = tables["tf"].join(qw, "term").join(F.broadcast(tables["collection"]))  # one row
+    if method == "augmented":
+        stats = tables["doc_stats"]
+        maxima = stats.select("doc_id", "max_tf") if "max_tf" in stats.columns else tables["tf"].groupBy("doc_id").agg(F.max("tf").alias("max_tf"))
+        rows = rows.join(maxima, "doc_id")
+    else:
+        rows = rows.withColumn("max_tf", F.lit(1))
     w = weight(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("max_tf"), method)
     dots = rows.groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * w).alias("dot"))
     lengths = qw.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    norms = norms if norms is not None else document_norms(tf, method)
+    norms = tables["doc_stats"].select("doc_id", F.col(f"norm_{method}").alias("norm"))
     full = dots.join(norms, "doc_id").join(lengths, "qid")
     cosine = F.when((F.col("q_norm") > 0) & (F.col("norm") > 0), F.col("dot") / (F.col("q_norm") * F.col("norm"))).otherwise(0.0)
     return full.select("qid", "doc_id", quantised(cosine).alias("similarity"))
 
 
 def search(queries: DataFrame, tf: DataFrame, top_k: int = 10, min_similarity: float = 0.0, method: str = "standard", norms: DataFrame | None = None) -> DataFrame:
-    """(qid, rank, doc_id, similarity) of the best documents of each query.
+    """``search_stored`` over term frequencies without stored statistics, which are made first."""
+    return search_stored(queries, statistics(tf, check_method(method), norms), top_k, min_similarity, method)
+
+
+#: Distinct query terms up to which postings are picked by value, so that row groups without them aren't read.
+PICKED_TERMS = 1000
+
+
+def pick_terms(queries: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with postings and terms of the queries alone, for stored tables sorted by term; many queries leave them whole."""
+    words = [r["term"] for r in queries.select(F.explode("tokens").alias("term")).distinct().limit(PICKED_TERMS + 1).collect()]
+    if len(words) > PICKED_TERMS:
+        return tables
+    return tables | {n: tables[n].where(F.col("term").isin(*words)) for n in ("tf", "terms")}
+
+
+def search_stored(queries: DataFrame, tables: dict[str, DataFrame], top_k: int = 10, min_similarity: float = 0.0, method: str = "standard") -> DataFrame:
+    """(qid, rank, doc_id, similarity) of the best documents of each query (R5, R7), from tf, terms, collection and doc_stats.
 
     With ``min_similarity`` 0 documents without shared terms count with score 0.
     For each query it is enough to fill up with the ``top_k`` smallest ids, so the
     collection is never paired with the queries. Ties go by id.
     """
-    found = scores(queries, tf, method, norms).where(F.col("similarity") >= min_similarity)
+    order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "doc_id")
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    found = scores(queries, tables, check_method(method)).where(F.col("similarity") >= min_similarity)
     if min_similarity <= 0:
-        # top_k ids, matched or not, beyond those that match: with top_k smallest of the others the list is full.
+        # The best top_k of each query, cut here, tell which queries are short, and all their matches.
+        found = checkpointed(best(found).drop("rank"))
         asked = queries.where(F.size("tokens") > 0).select("qid").distinct()
-        others = _unmatched(asked, found, tf, top_k)
+        others = _unmatched(asked, found, tables["doc_stats"], top_k)
         found = found.union(others.select("qid", "doc_id", F.lit(0.0).alias("similarity")))
-    order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "similarity")
+    return best(found).select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "similarity")
 
 
-def _unmatched(asked: DataFrame, found: DataFrame, tf: DataFrame, top_k: int) -> DataFrame:
+def _unmatched(asked: DataFrame, found: DataFrame, stats: DataFrame, top_k: int) -> DataFrame:
     """For queries with fewer matches than ``top_k``, documents that don't match, by id."""
     short = asked.join(found.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").where(F.coalesce("n", F.lit(0)) < top_k).select("qid")
     # A short query has fewer than top_k matches, so among the 2 top_k smallest ids enough are free.
-    first = tf.select("doc_id").distinct().orderBy("doc_id").limit(2 * top_k)
+    first = stats.select("doc_id").orderBy("doc_id").limit(2 * top_k)
     return first.join(short).join(found, ["qid", "doc_id"], "left_anti")
 
 
@@ -140,3 +182,9 @@ def vocabulary_coverage(queries: DataFrame, tf: DataFrame) -> DataFrame:
 def similarity_stats(results: DataFrame) -> DataFrame:
     """(qid, results, max_similarity, min_similarity)."""
     return results.groupBy("qid").agg(F.count("*").alias("results"), F.max("similarity").alias("max_similarity"), F.min("similarity").alias("min_similarity"))
+
+
+def overall_stats(results: DataFrame) -> DataFrame:
+    """(queries, results, max_similarity, min_similarity, mean_similarity) over all queries, one row."""
+    s = F.col("similarity")
+    return results.agg(F.countDistinct("qid").alias("queries"), F.count("*").alias("results"), F.max(s).alias("max_similarity"), F.min(s).alias("min_similarity"), quantised(F.avg(s)).alias("mean_similarity"))
