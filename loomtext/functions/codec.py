@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,10 +17,13 @@ def gaps(numbers: Column) -> Column:
     return F.transform(numbers, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(numbers, i - 1)))
 
 
-def ungaps(differences: Column) -> Column:
-    """Running sums."""
-    empty = F.array().cast("array<bigint>")
-    return F.aggregate(differences, empty, lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0).cast("long")) + x)))
+def _summed(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda x: np.cumsum(x), na_action="ignore")
+
+
+def ungaps(differences) -> Column:
+    """Running sums (C2), linear in the list; folding an array in the JVM would copy it at every step."""
+    return F.pandas_udf(_summed, "array<bigint>")(differences)
 
 
 def vb_length(n: Column) -> Column:
@@ -70,13 +74,24 @@ def vb_decode(data) -> Column:
     return F.pandas_udf(_decoded, "array<bigint>")(data)
 
 
+def _cube_root(length: Column) -> Column:
+    """The whole cube root, less one at the cubes of 4 and more.
+
+    That is what a correctly rounded power with the double next below 1/3 gives, which steps are defined by: at the cube
+    of c it is c (1 - 5.6e-17 ln c), which from c = 4 on is nearer to the double below c than to c. Platforms differ there.
+    """
+    near = F.round(F.cbrt(length)).cast("long")
+    whole = near - F.when(near * near * near > length, 1).otherwise(0)
+    return whole - F.when((whole >= 4) & (whole * whole * whole == length), 1).otherwise(0)
+
+
 def skip_step(length: Column, config: SkipConfig) -> Column:
     """Documents between skip pointers for a list of ``length``."""
     by = {
         "sqrt": F.floor(F.sqrt(length)),
-        "log": F.floor(F.log2(length)),
+        "log": F.length(F.bin(length)) - 1,
         "linear": F.floor(length / config.linear_factor),
-        "cbrt": F.floor(F.pow(length.cast("double"), F.lit(1.0 / 3.0))),
+        "cbrt": _cube_root(length),
     }
     step = F.lit(config.step) if config.step is not None else by.get(config.strategy, by["sqrt"])
     return F.when(length < config.min_list_length, 1).otherwise(F.greatest(step, F.lit(1))).cast("long")
@@ -88,5 +103,11 @@ def skip_step_of(length: int, config: SkipConfig) -> int:
         return 1
     if config.step is not None:
         return max(1, config.step)
-    step = {"log": lambda: int(math.log2(length)), "linear": lambda: length // config.linear_factor, "cbrt": lambda: int(length ** (1 / 3))}.get(config.strategy, lambda: math.isqrt(length))()
+
+    def cube_root() -> int:
+        c = round(length ** (1 / 3))
+        c -= c**3 > length
+        return c - (c >= 4 and c**3 == length)
+
+    step = {"log": lambda: length.bit_length() - 1, "linear": lambda: length // config.linear_factor, "cbrt": cube_root}.get(config.strategy, lambda: math.isqrt(length))()
     return max(1, step)

@@ -48,7 +48,7 @@ def clean_markup(text: Column, flags: str = "") -> Column:
 def _treebank(text: str) -> list[str]:
     """An approximation of Treebank splitting: punctuation and clitics come off, hyphens and inner dots stay."""
     text = re.sub(r"([?!;:,\"()\[\]{}<>&%$#*|~`]|--+|\.\.\.)", r" \1 ", text)
-    text = re.sub(r"\.(\s|$)", r" . \1", text)
+    text = re.sub(r"(?<!\.)\.(\s|$)", r" . \1", text)
     text = re.sub(r"(?i)(n't)\b", r" \1", text)
     text = re.sub(r"(?i)('s|'m|'d|'re|'ve|'ll)\b", r" \1", text)
     return text.split()
@@ -79,33 +79,16 @@ def order_phrases(phrases) -> list[str]:
     return sorted({p.lower() for p in phrases}, key=lambda p: (-len(p.split()), p))
 
 
-#: Phrases beyond which a plan with one replacement each gives way to one pass in Python.
-FOLD_LIMIT = 64
-
-
 def merge_phrases(text: Column, phrases) -> Column:
-    """Joins the words of each phrase by underscores, one phrase after the other in lexicon order."""
-    phrases = order_phrases(phrases)
-    text = F.lower(text)
-    if len(phrases) <= FOLD_LIMIT:
-        for phrase in phrases:
-            text = F.regexp_replace(text, rf"(?U)\b{re.escape(phrase)}\b", phrase.replace(" ", "_"))
-        return text
-
-    by_first: dict[str, list[tuple[int, str]]] = {}
-    for rank, phrase in enumerate(phrases):
-        by_first.setdefault(phrase.split()[0], []).append((rank, phrase))
+    """Joins the words of each phrase by underscores, one phrase after the other in lexicon order.
 
-    def fold(texts: pd.Series) -> pd.Series:
-        def one(text: str) -> str:
-            present = {w for w in re.findall(r"\w+", text)} & by_first.keys()
-            for _, phrase in sorted(x for w in present for x in by_first[w]):
-                text = re.sub(rf"\b{re.escape(phrase)}\b", phrase.replace(" ", "_"), text)
-            return text
-
-        return _each(one, texts)
-
-    return F.pandas_udf(fold, "string")(text)
+    A fold over the lexicon inside one expression, whatever its size; a phrase's pattern is only tried where its text occurs.
+    """
+    quoted = lambda p: p.replace(" ", "_").replace("\\", "\\\\").replace("$", "\\$")
+    steps = [F.struct(F.lit(p).alias("text"), F.lit(rf"(?U)\b{re.escape(p)}\b").alias("pattern"), F.lit(quoted(p)).alias("to")) for p in order_phrases(phrases)]
+    if not steps:
+        return F.lower(text)
+    return F.aggregate(F.array(*steps), F.lower(text), lambda done, p: F.when(F.contains(done, p["text"]), F.regexp_replace(done, p["pattern"], p["to"])).otherwise(done))
 
 
 # -------------------------------------------------------------- token rules
@@ -273,8 +256,9 @@ def file_slug(text: Column) -> Column:
 
 
 def shown_size(n: Column) -> Column:
-    """Bytes as B, KB or MB with two decimals."""
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%.2f KB", n / 1024)).otherwise(F.format_string("%.2f MB", n / (1 << 20)))
+    """Bytes as B, KB or MB with two decimals, halves to even."""
+    shown = lambda unit, name: F.format_string(f"%.2f {name}", F.bround(n / unit, 2))
+    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, shown(1024, "KB")).otherwise(shown(1 << 20, "MB"))
 
 
 def shown_term(t: Column, width: int = 28) -> Column:
