@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import codec as C
 from ..plans import boolean_ast as A
 
 
@@ -109,6 +110,36 @@ def flat_search(query: str, posting: DataFrame) -> DataFrame:
     return term_postings(posting, query.strip())
 
 
+def _words(query: str) -> tuple[list[str], str]:
+    """The words of a flat query in order, and what unites them."""
+    parts = query.split()
+    joint = "AND" if "AND" in parts else "OR" if "OR" in parts else ""
+    return ([p.lower() for p in parts if p not in ("AND", "OR")] if joint else [query.strip().lower()]), joint
+
+
+def compressed_search(query: str, encoded: DataFrame) -> DataFrame:
+    """(doc_id) of the flat reading over ``encoded(term, df, vb)``, of which only the query's lists are decoded."""
+    words, _ = _words(query)
+    ids = C.ungaps(C.vb_decode("vb"))
+    rows = encoded.where(F.col("term").isin(*words)).select("term", F.explode(ids).alias("doc_id"))
+    return flat_search(query, rows)
+
+
+def decoded_lists(query: str, encoded: DataFrame) -> DataFrame:
+    """(terms, known_terms, decoded_lists, decoded_bytes) of the flat reading, one row: an AND stops at its first unknown term."""
+    words, joint = _words(query)
+    spark = encoded.sparkSession
+    asked = spark.range(1).select(F.posexplode(F.array(*map(F.lit, words))).alias("at", "term"))
+    found = encoded.where(F.col("term").isin(*words)).select("term", F.octet_length("vb").alias("bytes"))
+    rows = asked.join(found, "term", "left")
+    stop = F.coalesce(F.min(F.when(F.col("bytes").isNull(), F.col("at"))).over(Window.partitionBy()), F.lit(len(words)))  # as many rows as the query has words
+    rows = rows.withColumn("read", F.col("bytes").isNotNull() & ((F.col("at") < stop) if joint == "AND" else F.lit(True)))
+    return rows.agg(
+        F.count("*").alias("terms"), F.count("bytes").alias("known_terms"), F.count_if("read").alias("decoded_lists"),
+        F.coalesce(F.sum(F.when(F.col("read"), F.col("bytes"))), F.lit(0)).cast("long").alias("decoded_bytes"),
+    )
+
+
 def decode_count(query: str, known: set[str]) -> int:
     """Lists that the flat reading decodes: an AND stops at its first unknown term."""
     parts = query.split()

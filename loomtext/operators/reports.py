@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Callable
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import file_slug
+from ..sources.stored import store
 
 
 def preview(lists: DataFrame, n: int = 10) -> DataFrame:
@@ -26,14 +26,24 @@ def result_rows(results: DataFrame, queries: DataFrame) -> DataFrame:
     return named.select("qid", F.concat(F.lit("query_"), F.col("qid"), F.lit("_"), file_slug(F.col("text")), F.lit(".json")).alias("file"), body.alias("body"))
 
 
-def save_results(results: DataFrame, queries: DataFrame, folder: str) -> list[str]:
-    """One JSON file a query (K12); a batch's results are ``top_k`` rows a query."""
-    os.makedirs(folder, exist_ok=True)
+def text_of(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, file, body): a text body for each query's results and the name of its file."""
+    lists = results.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "similarity"))).alias("results"))
+    line = F.transform("results", lambda r: F.format_string("%d. document %s, similarity %.6f", r["rank"], r["doc_id"].cast("string"), r["similarity"]))
+    body = F.concat_ws("\n", F.concat(F.lit("Query: "), "text"), F.concat(F.lit("Results: "), F.coalesce(F.size("results"), F.lit(0))), F.array_join(line, "\n"))
+    named = queries.join(lists, "qid", "left")
+    return named.select("qid", F.concat(F.lit("query_"), F.col("qid"), F.lit("_"), file_slug(F.col("text")), F.lit(".txt")).alias("file"), body.alias("body"))
+
+
+def save_results(results: DataFrame, queries: DataFrame, folder: str, form: str = "json") -> list[str]:
+    """One JSON or TXT file a query (K12); a batch's results are ``top_k`` rows a query."""
+    system, inner = store(folder)
+    system.create_dir(inner, recursive=True)
     paths = []
-    for row in result_rows(results, queries).toLocalIterator():
-        paths.append(os.path.join(folder, row["file"]))
-        with open(paths[-1], "w", encoding="utf-8") as file:
-            file.write(row["body"])
+    for row in {"json": result_rows, "txt": text_of}[form](results, queries).toLocalIterator():
+        paths.append(f"{folder}/{row['file']}")
+        with system.open_output_stream(f"{inner}/{row['file']}") as file:
+            file.write(row["body"].encode())
     return paths
 
 
@@ -76,3 +86,23 @@ def compare(queries: list[str], one: Callable[[str], DataFrame], other: Callable
         (a, s), (b, t) = timed(lambda q=q: one(q)), timed(lambda q=q: other(q))
         out.append({"query": q, "n": len(a), "equal": a == b, "seconds": s, "other_seconds": t, "ratio": s / t if t else None})
     return out
+
+
+def summary(rows: list[dict]) -> dict:
+    """Counts, agreement and seconds (average, least, most) of a comparison."""
+    seconds = [r["seconds"] for r in rows]
+    return {
+        "queries": len(rows), "agreeing": sum(r["equal"] for r in rows), "average_seconds": sum(seconds) / len(rows) if rows else None,
+        "least_seconds": min(seconds, default=None), "most_seconds": max(seconds, default=None),
+    }
+
+
+def save_comparison(rows: list[dict], path: str) -> str:
+    """The rows of ``compare`` and their summary as JSON at ``path`` and as text beside it."""
+    lines = [f"{r['query']}: {r['n']} rows, {'equal' if r['equal'] else 'DIFFERENT'}, {r['seconds']:.3f} s and {r['other_seconds']:.3f} s" for r in rows]
+    text = "\n".join([*lines, *(f"{k}: {v}" for k, v in summary(rows).items())]) + "\n"
+    system, inner = store(path)
+    for name, body in ((inner, json.dumps({"rows": rows, "summary": summary(rows)}, indent=1)), (inner.removesuffix(".json") + ".txt", text)):
+        with system.open_output_stream(name) as file:
+            file.write(body.encode())
+    return text

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SkipConfig
 from ..functions import codec as C
+from ..functions.codec import skip_step_of
+from ..plans import boolean_ast as A
 
 
 def skip_steps(posting: DataFrame, config: SkipConfig) -> DataFrame:
@@ -78,6 +81,60 @@ def merge_with_skips(a: list[int], b: list[int], step: int) -> tuple[list[int],
     return out, compared, jumps
 
 
+def evaluate_with_skips(tree, lists: dict[str, list[int]], universe: list[int], config: SkipConfig, counts: dict[str, int]) -> list[int]:
+    """Sorted ids that match a boolean tree, ANDs merged over skip pointers; ``counts`` adds up comparisons and jumps."""
+    if isinstance(tree, A.Term):
+        return lists.get(tree.word, [])
+    if isinstance(tree, A.Nothing):
+        return []
+    if isinstance(tree, A.Everything):
+        return universe
+    if isinstance(tree, A.Not):
+        out = set(evaluate_with_skips(tree.of, lists, universe, config, counts))
+        return [x for x in universe if x not in out]
+    parts = [evaluate_with_skips(p, lists, universe, config, counts) for p in tree.parts]
+    if isinstance(tree, A.Or):
+        return sorted(set().union(*parts))
+    done, *rest = sorted(parts, key=len)
+    for other in rest:
+        step = skip_step_of(len(other), config) if len(other) >= config.min_list_length else 0
+        done, compared, jumps = merge_with_skips(done, other, step)
+        counts["comparisons"] += compared
+        counts["jumps"] += jumps
+    return done
+
+
+def search_with_skips(query: str, posting: DataFrame, config: SkipConfig | None = None, block: int = 1 << 20) -> DataFrame:
+    """(block, doc_ids, comparisons, jumps): a boolean query by merges over skip pointers, block of ids by block.
+
+    A block covers ``block`` ids, so what a task holds is bounded by that and the number of the query's terms; each
+    block's part of a list has pointers of its own. Documents matter only in blocks where a term occurs, unless the
+    query holds for documents without any of its terms.
+    """
+    config = config or SkipConfig()
+    tree = A.parse(query)
+    words = A.terms(tree)
+    rows = posting.where(F.col("term").isin(*words)).select("doc_id", "term")
+    if A.holds(tree, ()):
+        rows = rows.union(posting.select("doc_id", F.lit(None).cast("string")).distinct())
+    else:
+        rows = rows.union(rows.select("doc_id", F.lit(None).cast("string")).distinct())
+    lists = rows.groupBy(F.floor(F.col("doc_id") / block).alias("block"), "term").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    lists = lists.groupBy("block").agg(F.collect_list(F.struct("term", "ids")).alias("lists"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for number, own in zip(batch["block"], batch["lists"], strict=True):
+                by = {x["term"]: list(map(int, x["ids"])) for x in own}
+                counts = {"comparisons": 0, "jumps": 0}
+                found = evaluate_with_skips(tree, by, by.get(None, []), config, counts)
+                out.append((number, found, counts["comparisons"], counts["jumps"]))
+            yield pd.DataFrame(out, columns=["block", "doc_ids", "comparisons", "jumps"])
+
+    return lists.mapInPandas(run, "block long, doc_ids array<long>, comparisons long, jumps long")
+
+
 def term_positions(lists: DataFrame) -> DataFrame:
     """(term, doc_id, i, df): each posting with its place in its list."""
     order = Window.partitionBy("term").orderBy("doc_id")

@@ -104,3 +104,11 @@ def phrase_queries(docs: DataFrame, n: int = 6, distances: tuple[int, ...] = (5,
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either side that the other lacks, with the side; empty if the answers agree."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).union(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def consistency(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(left_rows, right_rows, differing): sizes of two answers and of their symmetric difference, one row."""
+    sides = a.select(*a.columns, F.lit(1).alias("l"), F.lit(0).alias("r")).union(b.select(*a.columns, F.lit(0), F.lit(1)))
+    rows = sides.groupBy(*a.columns).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return rows.agg(total("l").alias("left_rows"), total("r").alias("right_rows"), total(F.abs(F.col("l") - F.col("r"))).alias("differing"))

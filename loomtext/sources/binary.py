@@ -1,20 +1,22 @@
 """The fixed binary index formats.
 
-Tables are the native form; these files are for exchange. Writers stream rows in
-term order through the driver, one list at a time; the dictionary of fixed
-records reads in parallel with ``binaryRecords``.
+Tables are the native form; these files are for exchange. A format is one file in
+term order, so writers stream rows through the driver, one list at a time; the
+dictionary of fixed records reads in parallel with ``binaryRecords``, and lists are
+read by the executors, each its own range. Paths may be of any store that Arrow
+knows, or local or mounted ones.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import IndexConfig, SkipConfig
 from ..functions.codec import decode_vb, encode_vb, skip_step_of
+from .stored import store
 
 RECORD = struct.Struct("<20sII")
 
@@ -87,11 +89,44 @@ def decode_positions(data: bytes, at: int = 0) -> dict[int, list[int]]:
     return out
 
 
+def encode_positions_vb(docs: list[tuple[int, list[int]]]) -> bytes:
+    """Count of documents, then gap, frequency and gaps of positions of each, in variable-byte code."""
+    out = encode_vb([len(docs)])
+    for gap, (_, positions) in zip(_gaps([d for d, _ in docs]), docs, strict=True):
+        out += encode_vb([gap, len(positions), *_gaps(positions)])
+    return out
+
+
+def decode_positions_vb(data: bytes, at: int = 0) -> dict[int, list[int]]:
+    """Positions by document of the variable-byte form."""
+    (n,), at = decode_vb(data, 1, at)
+    doc, out = 0, {}
+    for _ in range(n):
+        (gap, tf), at = decode_vb(data, 2, at)
+        numbers, at = decode_vb(data, tf, at)
+        doc += gap
+        out[doc] = _running(numbers)
+    return out
+
+
+def _writable(path: str):
+    system, inner = store(path)
+    system.create_dir(inner.rpartition("/")[0] or ".", recursive=True)
+    return system.open_output_stream(inner)
+
+
+def read_range(path: str, pointer: int, size: int) -> bytes:
+    """``size`` bytes from a place on, fewer at the end of the file."""
+    system, inner = store(path)
+    with system.open_input_file(inner) as file:
+        file.seek(pointer)
+        return file.read(max(0, min(size, file.size() - pointer)))
+
+
 def write_lists(rows, dictionary_path: str, lists_path: str, encode=encode_ids, config: IndexConfig | None = None) -> int:
     """A dictionary of 28-byte records and the lists they point to, from (term, ids) in term order; bytes of lists."""
     width, at = (config or IndexConfig()).term_bytes, 0
-    os.makedirs(os.path.dirname(dictionary_path) or ".", exist_ok=True)
-    with open(dictionary_path, "wb") as dictionary, open(lists_path, "wb") as lists:
+    with _writable(dictionary_path) as dictionary, _writable(lists_path) as lists:
         for term, ids in rows:
             data = encode(ids, at) if encode is encode_at else encode(ids)
             dictionary.write(RECORD.pack(term.encode()[:width], len(ids), at))
@@ -111,51 +146,87 @@ def export_index(lists: DataFrame, dictionary_path: str, lists_path: str, encode
     return write_lists(((r["term"], r["doc_ids"]) for r in rows), dictionary_path, lists_path, encode)
 
 
+def export_positions(ppostings: DataFrame, dictionary_path: str, lists_path: str, encode=encode_positions) -> int:
+    """``ppostings(term, doc_id, tf, positions)`` as files, in the fixed or the variable-byte form."""
+    lists = ppostings.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "positions"))).alias("docs"))
+    rows = lists.orderBy("term").toLocalIterator(prefetchPartitions=True)
+    return write_lists(((r["term"], [(d["doc_id"], d["positions"]) for d in r["docs"]]) for r in rows), dictionary_path, lists_path, encode)
+
+
 def _entry(numbered: tuple[bytes, int]) -> tuple[str, int, int, int]:
     term, count, pointer = RECORD.unpack(bytes(numbered[0]))
     return term.rstrip(b"\0").decode("utf-8", "ignore"), count, pointer, numbered[1]
 
 
-def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(term, doc_freq, pointer) of a fixed-record dictionary; of equal cut terms the last wins."""
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(term, doc_freq, pointer, at) of every record of a fixed-record dictionary, by its place."""
     rows = spark.sparkContext.binaryRecords(path, RECORD.size).zipWithIndex().map(_entry)
-    df = spark.createDataFrame(rows, "term string, doc_freq long, pointer long, at long")
-    last = df.groupBy("term").agg(F.max(F.struct("at", "doc_freq", "pointer")).alias("x"))
-    return last.select("term", "x.doc_freq", "x.pointer")
+    return spark.createDataFrame(rows, "term string, doc_freq long, pointer long, at long")
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(term, doc_freq, pointer, at) of a fixed-record dictionary; of equal cut terms the last wins."""
+    last = read_entries(spark, path).groupBy("term").agg(F.max(F.struct("at", "doc_freq", "pointer")).alias("x"))
+    return last.select("term", "x.doc_freq", "x.pointer", "x.at")
 
 
 def read_list(path: str, pointer: int, count: int) -> list[int]:
     """One list of plain ids."""
-    with open(path, "rb") as file:
-        file.seek(pointer)
-        data = file.read(4 * count)
+    data = read_range(path, pointer, 4 * count)
     return [n for (n,) in struct.iter_unpack("<I", data[: len(data) // 4 * 4])]
 
 
 def read_vb_list(path: str, pointer: int, count: int) -> list[int]:
     """One list of variable-byte gaps."""
-    with open(path, "rb") as file:
-        file.seek(pointer)
-        return _running(decode_vb(file.read(5 * count), count)[0])
+    return _running(decode_vb(read_range(path, pointer, 5 * count), count)[0])
 
 
 def read_skip_list(path: str, pointer: int, count: int, next_pointer: int | None = None) -> tuple[list[int], list[tuple[int, int, int]]]:
     """One list with skip pointers; without the next pointer, enough for a pointer after every id is read."""
-    with open(path, "rb") as file:
-        file.seek(pointer)
-        data = file.read((next_pointer - pointer) if next_pointer is not None else 16 * count)
-    return decode_skips(data, count)
+    return decode_skips(read_range(path, pointer, (next_pointer - pointer) if next_pointer is not None else 16 * count), count)
 
 
-def read_index(spark: SparkSession, dictionary_path: str, lists_path: str) -> DataFrame:
-    """(term, df, doc_ids) of all lists, sorted again."""
+def _loaded(entries: DataFrame, lists_path: str, read, schema: str) -> DataFrame:
+    """(term, at, df, x): ``read(path, pointer, next pointer or None, count)`` of every dictionary entry."""
 
     def load(batches):
         for batch in batches:
-            batch["doc_ids"] = [sorted(read_list(lists_path, p, n)) for p, n in zip(batch["pointer"], batch["doc_freq"], strict=True)]
-            yield batch[["term", "doc_freq", "doc_ids"]]
+            ends = [None if e != e or e is None else int(e) for e in batch["end"]]
+            batch["x"] = [read(lists_path, int(p), e, int(n)) for p, e, n in zip(batch["pointer"], ends, batch["doc_freq"], strict=True)]
+            yield batch.rename(columns={"doc_freq": "df"})[["term", "at", "df", "x"]]
+
+    return entries.mapInPandas(load, f"term string, at long, df long, x {schema}")
+
+
+def read_index(spark: SparkSession, dictionary_path: str, lists_path: str, form: str = "plain", every: bool = False) -> DataFrame:
+    """(term, at, df, doc_ids) of all lists, sorted again (S13); ``form`` is plain, vb or skips. ``every`` keeps all of equal cut terms."""
+    read = {"plain": lambda path, at, _, n: read_list(path, at, n), "vb": lambda path, at, _, n: read_vb_list(path, at, n), "skips": lambda path, at, _, n: read_skip_list(path, at, n)[0]}[form]
+    entries = (read_entries if every else read_dictionary)(spark, dictionary_path).withColumn("end", F.lit(None).cast("long"))
+    return _loaded(entries, lists_path, lambda *a: sorted(read(*a)), "array<long>").withColumnRenamed("x", "doc_ids")
+
+
+def read_positions(spark: SparkSession, dictionary_path: str, lists_path: str, form: str = "plain", every: bool = False) -> DataFrame:
+    """(term, at, doc_id, tf, positions) of a positional index (S16, S17); ``form`` is plain or vb, ``every`` as in ``read_index``.
+
+    A list ends where the next one begins, so entries are met with the pointer after theirs, one task a range of pointers.
+    """
+    decode = {"plain": decode_positions, "vb": decode_positions_vb}[form]
+    entries = read_entries(spark, dictionary_path)
+    span = 1 << 24
+    ranged = entries.withColumn("range", F.floor(F.col("pointer") / span))
+    # The first pointer of each range, one row a range, closes the last list of the range before.
+    firsts = ranged.groupBy("range").agg(F.min("pointer").alias("first")).withColumn("after", F.lead("first").over(Window.orderBy("range"))).drop("first")
+    ends = F.coalesce(F.lead("pointer").over(Window.partitionBy("range").orderBy("pointer")), F.col("after"))
+    entries = ranged.join(F.broadcast(firsts), "range").withColumn("end", ends).drop("range", "after")
+    if not every:
+        entries = entries.groupBy("term").agg(F.max_by(F.struct("doc_freq", "pointer", "at", "end"), "at").alias("x")).select("term", "x.*")
+
+    def read(path, at, end, n):
+        size = end - at if end is not None else 1 << 62
+        return [{"doc_id": d, "positions": p} for d, p in decode(read_range(path, at, size)).items()]
 
-    return read_dictionary(spark, dictionary_path).mapInPandas(load, "term string, doc_freq long, doc_ids array<long>").withColumnRenamed("doc_freq", "df")
+    rows = _loaded(entries, lists_path, read, "array<struct<doc_id:long,positions:array<long>>>")
+    return rows.select("term", "at", F.inline("x")).select("term", "at", "doc_id", F.size("positions").cast("long").alias("tf"), "positions")
 
 
 # ------------------------------------------------- dictionary as one string
@@ -166,7 +237,7 @@ def write_compressed_dictionary(entries, path: str, k: int = 4) -> None:
     entries = list(entries)
     text = "".join(t for t, _, _ in entries)
     coded = text.encode()
-    with open(path, "wb") as file:
+    with _writable(path) as file:
         file.write(struct.pack("<I", len(coded)) + coded + struct.pack("<IB", len(entries), k))
         at = 0
         for i, (term, freq, pointer) in enumerate(entries, 1):
@@ -177,8 +248,7 @@ def write_compressed_dictionary(entries, path: str, k: int = 4) -> None:
 
 def read_compressed_dictionary(path: str) -> dict[str, tuple[int, int]]:
     """{term: (freq, pointer)} (S14). An anchor gives its place, the others their lengths; an anchor's own length is what is left to the next."""
-    with open(path, "rb") as file:
-        data = file.read()
+    data = read_range(path, 0, 1 << 62)
     (size,) = struct.unpack_from("<I", data)
     text = data[4 : 4 + size].decode("utf-8", "replace")
     count, k = struct.unpack_from("<IB", data, 4 + size)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .stored import store
 
 EVENT = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("time", T.StringType()),
@@ -25,9 +26,13 @@ def read_events(spark: SparkSession, folder: str, max_files: int | None = None)
     description. ``max_files`` takes the first by name. Of equal ids the last file wins.
     """
     files = spark.read.option("pathGlobFilter", "PastEvent*.[xX][mM][lL]").text(folder, wholetext=True)
-    files = files.select(F.col("_metadata.file_name").alias("file_name"), "value")
+    name = F.col("_metadata.file_name")
     if max_files is not None:
-        files = files.orderBy("file_name").limit(max_files)
+        # Names alone settle which files count; their contents are read after.
+        first = files.select(name.alias("chosen")).orderBy("chosen").limit(max_files)
+        files = files.select(name.alias("file_name"), "value").join(first, F.col("file_name") == F.col("chosen"), "left_semi")
+    else:
+        files = files.select(name.alias("file_name"), "value")
     return parse_events(files)
 
 
@@ -56,15 +61,14 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_token_files(docs: DataFrame, folder: str) -> None:
-    """A file with one token a line for each document (K2), written by the executors into a shared folder."""
+    """A file with one token a line for each document (K2), written by the executors into a folder of any store that Arrow knows."""
 
     def write(rows) -> None:
-        import os
-
-        os.makedirs(folder, exist_ok=True)
+        system, inner = store(folder)
+        system.create_dir(inner, recursive=True)
         for row in rows:
-            with open(os.path.join(folder, f"{row['doc_id']}.txt"), "w", encoding="utf-8") as file:
-                file.write("\n".join(row["tokens"]))
+            with system.open_output_stream(f"{inner}/{row['doc_id']}.txt") as file:
+                file.write("\n".join(row["tokens"]).encode())
 
     docs.select("doc_id", "tokens").foreachPartition(write)
 
@@ -101,6 +105,15 @@ def write_positional_text(ppostings: DataFrame, folder: str) -> None:
     lists.orderBy("term").select(line.alias("value")).write.mode("overwrite").text(folder)
 
 
+def read_positional_text(spark: SparkSession, folder: str) -> DataFrame:
+    """(term, doc_id, tf, positions) of ``term total; doc:p1,p2; ...`` lines."""
+    parts = spark.read.text(folder).select(F.split("value", "; ").alias("p"))
+    rows = parts.select(F.regexp_extract(F.col("p")[0], r"^(.*) \d+$", 1).alias("term"), F.explode(F.slice("p", 2, F.size("p"))).alias("d"))
+    halves = rows.select("term", F.split("d", ":").alias("h"))
+    positions = F.split(F.col("h")[1], ",").cast("array<bigint>")
+    return halves.select("term", F.col("h")[0].cast("long").alias("doc_id"), F.size(positions).cast("long").alias("tf"), positions.alias("positions"))
+
+
 def dictionary_report(dictionary: DataFrame) -> DataFrame:
     """(line): the dictionary in fixed columns, long terms cut."""
     return dictionary.orderBy("term").select(F.format_string("%-30s%-15d%-15d", X.shown_term(F.col("term")), "doc_freq", "text_pointer").alias("line"))
