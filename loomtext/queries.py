@@ -5,6 +5,8 @@ IDs in docstrings and comments name the operators of the survey.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,17 +283,18 @@ def width_report(spark, sf_dir):
 # ------------------------------------------------------------ boolean
 
 
-def _boolean(name: str, text: str, condition: str, plan: str, universe: bool = False):
+def boolean_sql(condition: str) -> str:
     """``condition`` is over h('term') flags of documents with postings."""
-    import re as _re
+    having = re.sub(r"h\('(\w+)'\)", r"coalesce(bool_or(term = '\1'), false)", condition)
+    return f"WITH {SQL_POST} SELECT doc_id FROM posting GROUP BY doc_id HAVING {having}"
 
-    having = _re.sub(r"h\('(\w+)'\)", r"coalesce(bool_or(term = '\1'), false)", condition)
 
+def _boolean(name: str, text: str, condition: str, plan: str):
     def run(spark, sf_dir):
         return boolean.search(text, posting(spark, sf_dir), plan=plan)
 
     run.__name__, run.__doc__ = name, f"B1-B9: {text}, {plan} plan."
-    query(f"WITH {SQL_POST} SELECT doc_id FROM posting GROUP BY doc_id HAVING {having}")(run)
+    query(boolean_sql(condition))(run)
 
 
 _boolean("bool_and", f"{A} AND {B}", f"h('{A}') AND h('{B}')", "set")
@@ -566,9 +569,10 @@ def xml_events_plain(spark, sf_dir):
     return _events_of(read_documents(spark, sf_dir).where(~F.col("text").rlike(r"[<&]|\n\s*\n")))
 
 
-@query(f"SELECT doc_id, 'none' AS side FROM documents WHERE false")
+@query(f"""WITH {SQL_POST}, f AS (SELECT doc_id, bool_or(term = '{A}') AS a, bool_or(term = '{B}') AS b, bool_or(term = '{D}') AS d, bool_or(term = '{E}') AS e FROM posting GROUP BY doc_id),
+  s AS (SELECT count(*) AS n FROM f WHERE ((a AND b) OR d) AND NOT e) SELECT n AS left_rows, n AS right_rows, CAST(0 AS BIGINT) AS differing FROM s""")
 def compare_consistency(spark, sf_dir):
     """Set plan and flag plan agree."""
     tree = boolean_ast.parse(f"(({A} AND {B}) OR {D}) AND NOT {E}")
     rows = posting(spark, sf_dir)
-    return workload.differences(boolean.set_plan(tree, rows), boolean.flag_plan(tree, rows))
+    return workload.consistency(boolean.set_plan(tree, rows), boolean.flag_plan(tree, rows))
