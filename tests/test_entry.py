@@ -34,6 +34,11 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(columns, cursor.fetchall())
 
 
+def test_generated_workload_agrees(spark):
+    rows = queries.QUERIES["workload_agreement"](spark, DATA).collect()
+    assert len(rows) > 10 and all(r["left_rows"] == r["right_rows"] and r["differing"] == 0 for r in rows) and any(r["left_rows"] for r in rows)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

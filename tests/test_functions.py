@@ -37,11 +37,65 @@ def test_merge_phrases_keeps_lexicon_order(spark):
     assert values(spark, rows, "t string", X.merge_phrases(F.col("t"), many)) == ["a_b c d", "a  b_c", "b_c a_b"]
 
 
-@pytest.mark.parametrize(("word", "stem"), [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("motoring", "motor"), ("hopping", "hop"), ("relational", "relat"), ("happy", "happi"), ("probate", "probat"), ("controll", "control"), ("sky", "sky")])
+@pytest.mark.parametrize("size", [0, 100])
+def test_merge_phrases_has_one_rule(spark, size):
+    """Word boundaries, signs and order are the same for lexicons of any size."""
+    phrases = ["don't know", "a $1 b", "c++ code", "é è", "new_york times", "new york"] + [f"filler{i} word" for i in range(size)]
+    rows = [("I DON'T KNOW it",), ("a $1 b and xa $1 b",), ("c++ code",), ("É è",), ("the new york times",), ("filler7 word",), (None,), ("",)]
+    got = values(spark, rows, "t string", X.merge_phrases(F.col("t"), phrases))
+    assert got == ["i don't_know it", "a_$1_b and xa $1 b", "c++_code", "é_è", "the new_york_times", "filler7_word" if size else "filler7 word", None, ""]
+
+
+#: Examples that the published description of the algorithm gives, or that follow from its rules by hand.
+STEMS = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing
+conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky
+relational relat conditional condit rational ration valenci valenc hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ
+vileli vile analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous
+formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope
+goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit
+replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog
+effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll oscillators oscil generalizations gener""".split()
+
+
+@pytest.mark.parametrize(("word", "stem"), list(zip(STEMS[::2], STEMS[1::2], strict=True)))
 def test_porter(word, stem):
     assert X.porter(word) == stem
 
 
+def test_treebank(spark):
+    rows = [("Don't they're, well-known (U.S.) e.g. $5.50 -- ok...",), ("",), (None,)]
+    assert values(spark, rows, "t string", X.tokens(F.col("t"), "treebank")) == [
+        ["do", "n't", "they", "'re", ",", "well-known", "(", "u.s", ".", ")", "e.g", ".", "$", "5.50", "--", "ok", "..."], [], None,
+    ]
+
+
+def test_sizes_round_halves_to_even(spark):
+    rows = [(1023,), (1024,), (1152,), (1408,), (1 << 20,), ((1 << 20) * 9 // 8,)]
+    assert values(spark, rows, "n long", X.shown_size(F.col("n"))) == ["1023 B", "1.00 KB", "1.12 KB", "1.38 KB", "1.00 MB", "1.12 MB"]
+
+
+def test_cube_root_steps(spark):
+    config = SkipConfig(strategy="cbrt")
+    lengths = sorted({n for c in range(2, 120) for n in (c**3 - 1, c**3, c**3 + 1) if n >= 3})
+    # A correctly rounded power is what the platform gives for all of these.
+    expected = [max(1, int(n ** (1 / 3))) for n in lengths]
+    assert [C.skip_step_of(n, config) for n in lengths] == expected
+    df = spark.createDataFrame([(n,) for n in lengths], "n long")
+    assert [r[0] for r in df.select(C.skip_step(F.col("n"), config)).collect()] == expected
+
+
+def test_log_steps_at_powers_of_two(spark):
+    config, lengths = SkipConfig(strategy="log"), [n for k in range(2, 45) for n in (2**k - 1, 2**k, 2**k + 1)]
+    df = spark.createDataFrame([(n,) for n in lengths], "n long")
+    assert [r[0] for r in df.select(C.skip_step(F.col("n"), config)).collect()] == [n.bit_length() - 1 for n in lengths] == [C.skip_step_of(n, config) for n in lengths]
+
+
+def test_running_sums_of_long_lists(spark):
+    rows = [([1] * 50_000,), ([],), (None,), ([5, 0, 7],)]
+    got = values(spark, rows, "g array<bigint>", C.ungaps(F.col("g")))
+    assert got == [list(range(1, 50_001)), [], None, [5, 5, 12]]
+
+
 def test_display(spark):
     df = spark.createDataFrame([("Hello, wörld of - text_here", 2048)], "t string, n long")
     row = df.select(X.file_slug(F.col("t")), X.shown_size(F.col("n")), X.shown_term(F.lit("x" * 30)), X.doc_number(F.lit("event_12"))).first()

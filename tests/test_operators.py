@@ -1,6 +1,7 @@
 """Boolean, phrase, ranked and index operators on small corpora."""
 
 import itertools
+import json
 import random
 
 import pytest
@@ -101,6 +102,24 @@ def test_dictionary_numbers_across_partitions(spark, corpus):
         binary += 4 * len(docs)
 
 
+@pytest.mark.parametrize("partitions", [3, 8, 64, 200])
+def test_ordinals_and_pointers_of_many_ranges(spark, partitions):
+    """200,000 terms in several ranges: every ordinal once, pointers as running sums, with all columns read and with one."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        terms = spark.range(200_000).select(F.md5(F.col("id").cast("string")).alias("term"), (F.col("id") % 97 + 1).alias("size"))
+        out = index._numbered(terms, ["size"])
+        rows = sorted(map(tuple, out.select("term", "size", "n_terms", "ordinal", "size_before").collect()))
+        place = 0
+        for n, (_, size, total, ordinal, pointer) in enumerate(rows, 1):
+            assert (ordinal, pointer, total) == (n, place, len(rows))
+            place += size
+        assert out.select("ordinal").distinct().count() == len(rows) == 200_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_skip_pointers(corpus):
     rows, df = corpus
     lists = index.index_lists(index.postings(df))
@@ -113,6 +132,64 @@ def test_skip_pointers(corpus):
         assert all(r["target_doc_id"] == docs[r["target_pos"]] for r in found if r["term"] == row["term"])
 
 
+@pytest.mark.parametrize("text", ["a AND b AND c", "((a AND b) OR c) AND NOT d", "NOT a AND NOT b", "a AND zz", "NOT zz"])
+@pytest.mark.parametrize("block", [1 << 20, 16])
+def test_search_over_skip_pointers(corpus, text, block):
+    """Matches and counters, against a merge by hand over the lists of each block."""
+    rows, df = corpus
+    got = skips.search_with_skips(text, index.postings(df), SkipConfig(), block).collect()
+    assert sorted(i for r in got for i in r["doc_ids"]) == sorted(i for i, t in rows if A.holds(A.parse(text), set(t)))
+    if text == "a AND b AND c":
+        compared = jumps = 0
+        for number in {i // block for i, _ in rows}:
+            lists = sorted(([i for i, t in rows if w in t and i // block == number] for w in "abc"), key=len)
+            done = lists[0]
+            for other in lists[1:]:
+                step, i, j, found = int(len(other) ** 0.5) if len(other) >= 3 else 0, 0, 0, []
+                while i < len(done) and j < len(other):
+                    compared += 1
+                    if done[i] == other[j]:
+                        found, i, j = [*found, done[i]], i + 1, j + 1
+                    elif done[i] < other[j]:
+                        i += 1
+                    else:
+                        start = j
+                        while step > 1 and j % step == step - 1 and j + 1 < len(other):
+                            compared += 1
+                            if other[min(j + step, len(other) - 1)] > done[i]:
+                                break
+                            j, jumps = min(j + step, len(other) - 1), jumps + 1
+                        j += j == start
+                done = found
+        assert (sum(r["comparisons"] for r in got), sum(r["jumps"] for r in got)) == (compared, jumps)
+
+
+def test_compressed_search(corpus):
+    rows, df = corpus
+    encoded = index.encoded_lists(index.index_lists(index.postings(df)))
+    size = {r["term"]: len(r["vb"]) for r in encoded.collect()}
+    assert ids(boolean.compressed_search("a AND b AND c", encoded)) == sorted(i for i, t in rows if {"a", "b", "c"} <= set(t))
+    assert ids(boolean.compressed_search("e OR zz", encoded)) == sorted(i for i, t in rows if "e" in t)
+    assert tuple(boolean.decoded_lists("a AND zz AND b", encoded).first()) == (3, 2, 1, size["a"])
+    assert tuple(boolean.decoded_lists("a OR zz OR b", encoded).first()) == (3, 2, 2, size["a"] + size["b"])
+    assert tuple(boolean.decoded_lists("zz", encoded).first()) == (1, 0, 0, 0)
+
+
+def test_stored_search_is_the_search(spark, corpus, tmp_path):
+    _, df = corpus
+    index.write_index(df, str(tmp_path))
+    tables = index.read_index(spark, str(tmp_path))
+    queries = spark.createDataFrame([(1, ["a", "e", "a"]), (2, ["zz"]), (3, []), (4, ["f"])], "qid long, tokens array<string>")
+    picked = ranking.pick_terms(queries, tables)
+    plan = picked["tf"]._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan
+    for method in ranking.METHODS:
+        for least in (0.0, 0.1):
+            expected = sorted(map(tuple, ranking.search(queries, index.term_frequencies(df), 7, least, method).collect()))
+            assert sorted(map(tuple, ranking.search_stored(queries, picked, 7, least, method).collect())) == expected
+            assert sorted(map(tuple, ranking.search_stored(queries, tables, 7, least, method).collect())) == expected
+
+
 def test_analysis(spark):
     docs = spark.createDataFrame([(1, "The running dogs, don't run HTTP"), (2, None), (3, "")], "doc_id long, text string")
     assert {r["doc_id"]: r["tokens"] for r in analysis.analyze(docs).collect()} == {1: ["running", "dogs", "don", "run"], 2: None, 3: []}
@@ -132,8 +209,17 @@ def test_workloads_and_reports(spark, corpus, tmp_path):
     same = reports.compare(made[:3], lambda q: boolean.search(q, posting), lambda q: boolean.search(q, posting, plan="set"))
     assert all(r["equal"] for r in same)
     assert workload.differences(posting, posting).count() == 0
+    some = posting.where("term <> 'a'")
+    lost = posting.count() - some.count()
+    assert tuple(workload.consistency(posting, some).first()) == (posting.count(), some.count(), lost) and lost > 0
+    assert tuple(workload.consistency(some.limit(0), some.limit(0)).first()) == (0, 0, 0)
     queries = spark.createDataFrame([(1, "a e", ["a", "e"])], "qid long, text string, tokens array<string>")
     results = ranking.search(queries, index.term_frequencies(df), 3)
     assert len(reports.save_results(results, queries, str(tmp_path))) == 1
+    (text,) = reports.save_results(results, queries, str(tmp_path), "txt")
+    assert open(text, encoding="utf-8").read().startswith("Query: a e\nResults: 3\n1. document ")
+    said = reports.save_comparison(same, str(tmp_path / "report.json"))
+    assert json.load(open(tmp_path / "report.json"))["summary"]["agreeing"] == 3 and "agreeing: 3" in said
+    assert reports.summary([])["average_seconds"] is None
     assert "Query 1: a e (3 results)" in reports.retrieval_report(results, queries, {})
     assert ranking.with_matches(results, queries, df).select(F.max("match_count")).first()[0] >= 1

@@ -3,6 +3,8 @@
 import html
 import re
 
+import pytest
+
 from loomtext import queries
 from loomtext.config import SkipConfig
 from loomtext.operators import analysis, index
@@ -76,6 +78,18 @@ def test_binary_files(spark, tmp_path):
     assert SkipConfig().marker_binary == 0xFFFFFFFF
 
 
+@pytest.mark.parametrize(("form", "encode"), [("plain", binary.encode_positions), ("vb", binary.encode_positions_vb)])
+def test_positional_files(spark, tmp_path, form, encode):
+    docs = spark.createDataFrame([(3, ["a", "b", "a"]), (500, ["b" * 30, "a"]), (70000, ["b" * 25, "c"])], "doc_id long, tokens array<string>")
+    paths = str(tmp_path / "x" / "d.bin"), str(tmp_path / "x" / "l.bin")
+    binary.export_positions(index.positional_postings(docs), *paths, encode)
+    got = sorted((r["term"], r["at"], r["doc_id"], r["tf"], tuple(r["positions"])) for r in binary.read_positions(spark, *paths, form, every=True).collect())
+    assert got == [("a", 0, 3, 2, (1, 3)), ("a", 0, 500, 1, (2,)), ("b", 1, 3, 1, (2,)), ("b" * 20, 2, 70000, 1, (1,)), ("b" * 20, 3, 500, 1, (1,)), ("c", 4, 70000, 1, (2,))]
+    # Of equal cut terms the last wins.
+    last = {r["term"]: r["doc_id"] for r in binary.read_positions(spark, *paths, form).collect() if r["term"].startswith("bb")}
+    assert last == {"b" * 20: 500}
+
+
 def test_streaming_matches_batch(spark, tmp_path):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma beta")], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "in"))
