@@ -1,8 +1,9 @@
 """Embedding near-duplicates by quantised tile products.
 
 Vectors of one label are compared by cosine. Each unit vector x is rounded to
-eight-bit codes c with a step s, x = s c + e, and the norm of e is kept. A tile
-product of codes is exact in single precision, and
+eight-bit codes c with a step s, x = s c + e, and the norm of e is kept. Tile
+products of codes are taken over 1024 components at a time, where single precision
+is exact (1024 * 127**2 < 2**24), and summed in double precision; and
 
     |x.y - s_x s_y c_x.c_y| <= |e_x| (1 + |e_y|) + |e_y| (1 + |e_x|) + |e_x| |e_y|
 
@@ -10,7 +11,8 @@ bounds the error of every pair (Cauchy-Schwarz; |s c| <= 1 + |e|), so only pairs
 that may reach the threshold are computed again, in double precision.
 
 Equal vectors of a label are one vector with a count first. The rest is dealt by
-a hash into tiles of about ``tile`` vectors, and each pair of tiles of a label is
+a hash into tiles of about ``tile`` vectors (fewer where they are long, so that a
+tile holds ``TILE_VALUES`` components at most), and each pair of tiles of a label is
 one unit of work; a tile pair is passed over if the angle between the tiles'
 centres less both radii is beyond the threshold's. Of a tile pair, what leaves
 is a count of links by vector and a spanning forest of the links, never the
@@ -19,9 +21,10 @@ the square of the largest label's distinct vectors, spread evenly over tasks.
 
 Cases: null labels, and vectors that are null, empty, zero or hold null or
 non-finite components link with nothing; vectors of different lengths are not
-compared; each row is a vector of its own, equal ids share the smallest reading
-only in that links name ids; rows with a null id count as vectors and belong to
-the component of the smallest non-null id; an empty table gives no rows.
+compared; vectors are scaled by their largest component first, so that no square
+overflows or vanishes; each row is a vector of its own, also under an id that
+another row has, and links count rows; a component is named by the smallest
+non-null id among its rows (null if there is none); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ from .common import bounded_batches, checkpointed, session_of
 from .components import connected_components
 
 TILE = 1024
+#: Components that a tile holds at most, about.
+TILE_VALUES = 1 << 20
+#: Components over which a product of codes is exact in single precision.
+EXACT = 1024
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,6 +53,14 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, step, left
 
 
+def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The whole-number products of the rows of two arrays of eight-bit codes, exactly."""
+    out = np.zeros((len(a), len(b)))
+    for at in range(0, a.shape[1], EXACT):
+        out += a[:, at : at + EXACT].astype(np.float32) @ b[:, at : at + EXACT].astype(np.float32).T
+    return out
+
+
 def tile_links(a: np.ndarray, b: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows i of ``a`` and j of ``b`` with cosine >= threshold; without ``b``, pairs i < j of ``a``.
 
@@ -53,7 +68,7 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, threshold: float) -> tuple[n
     """
     other = a if b is None else b
     (ca, sa, ea), (cb, sb, eb) = quantise(a), quantise(other)
-    about = (ca.astype(np.float32) @ cb.astype(np.float32).T).astype(np.float64) * sa[:, None] * sb[None, :]
+    about = code_products(ca, cb) * sa[:, None] * sb[None, :]
     slack = ea[:, None] * (1 + eb[None, :]) + eb[None, :] * (1 + ea[:, None]) + ea[:, None] * eb[None, :]
     maybe = about + slack >= threshold
     if b is None:
@@ -84,8 +99,10 @@ def _forest(i: np.ndarray, j: np.ndarray, ids: list[int]) -> list[tuple[int, int
     return out
 
 
-def _unit(tile) -> np.ndarray:
-    x = np.array(tile, np.float64)
+def _unit(tile: pa.ListScalar) -> np.ndarray:
+    """The unit vectors of a list of vectors of one length."""
+    x = tile.values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(tile.values), -1)
+    x /= np.abs(x).max(1)[:, None]
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -105,9 +122,10 @@ def _compare(pairs: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                own, a = row["own"], _unit(row["va"])
-                ids, counts = list(row["ia"]), np.array(row["na"])
+            for at in range(batch.num_rows):
+                row = {name: batch.column(i)[at] for i, name in enumerate(batch.schema.names)}
+                own, a = row["own"].as_py(), _unit(row["va"])
+                ids, counts = row["ia"].as_py(), np.array(row["na"].as_py())
                 if own:
                     i, j = tile_links(a, None, threshold)
                     links = np.zeros(len(ids), np.int64)
@@ -119,7 +137,7 @@ def _compare(pairs: DataFrame, threshold: float) -> DataFrame:
                         continue
                     i, j = tile_links(a, b, threshold)
                     j = j + len(ids)
-                    ids, counts = ids + list(row["ib"]), np.concatenate([counts, row["nb"]])
+                    ids, counts = ids + row["ib"].as_py(), np.concatenate([counts, row["nb"].as_py()])
                     links = np.zeros(len(ids), np.int64)
                     np.add.at(links, i, counts[j])
                     np.add.at(links, j, counts[i])
@@ -150,7 +168,7 @@ def near_vectors(
     distinct = checkpointed(distinct)
     family = ["label", "dim"]
     placed = distinct.withColumn("dim", F.size("v"))
-    sizes = placed.groupBy(*family).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    sizes = placed.groupBy(*family).agg(F.ceil(F.count("*") / F.least(F.lit(tile), F.greatest(F.lit(TILE_VALUES) / F.col("dim"), F.lit(1)))).cast("int").alias("tiles"))
     placed = placed.join(sizes, family).withColumn("tile", F.pmod(F.xxhash64("v"), F.col("tiles")).cast("int"))
     # A hash deals about ``tile`` vectors to each.
     tiles = placed.groupBy(*family, "tiles", "tile").agg(F.collect_list(F.struct("node", "copies", "v")).alias("x"))

@@ -270,6 +270,23 @@ def test_vectors(spark, tile):
     assert vector_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_equal_and_null_ids_and_of_any_size(spark):
+    """Rows are vectors of their own; squares that overflow or vanish lose no link."""
+    big, small = 1e200, 1e-200
+    rows = [(5, [1.0, 0.0], 0), (5, [1.0, 0.01], 0), (None, [2.0, 0.0], 0), (None, [0.0, 1.0], 1), (3, [big, big], 2), (4, [small, small], 2), (6, [1.0, 1.01], 2), (7, [1.0, 1.0, 0.0], 2), (None, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["id"], r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(df).collect()), key=str)
+    assert got == sorted([(5, 2, 5), (5, 2, 5), (None, 2, 5), (None, 0, None), (3, 2, 3), (4, 2, 3), (6, 2, 3), (7, 0, 7), (None, 0, None)], key=str)
+
+
+@pytest.mark.parametrize("dim", [24, 1024, 1040, 4096, 16384])
+def test_products_of_codes_are_exact(dim):
+    rng = np.random.default_rng(dim)
+    a, b = rng.integers(100, 128, (7, dim)).astype(np.int8), rng.integers(-127, 128, (9, dim)).astype(np.int8)
+    for x, y in ((a, b), (a, a)):
+        assert (vector_dedup.code_products(x, y) == x.astype(np.int64) @ y.astype(np.int64).T).all()
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 24))
