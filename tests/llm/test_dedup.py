@@ -72,6 +72,31 @@ def test_unused_prefix(spark):
     assert unused(spark.createDataFrame([(1, 2)], "a int, _b int")) == "__"
 
 
+def test_leftmost_least():
+    rng = np.random.default_rng(4)
+    for span in (1, 2, 5, 28):
+        values = rng.integers(0, 6, 200).astype(np.uint64)
+        expected = [i + int(np.argmin(values[i : i + span])) for i in range(200 - span + 1)]
+        assert substring_dedup.leftmost_least(values, span).tolist() == expected
+
+
+def test_spans_are_verified_at_their_coordinates():
+    """A span whose words aren't those of the repeat doesn't hold."""
+    spelled = substring_dedup.Spelled(b" a  b\tc d e a b c d ")
+    k = 3
+    whole, head, tail = spelled.digest(0, 4), spelled.digest(0, 2), spelled.digest(2, 4)
+    assert spelled.holds(0, 2, 1, whole, None, k) and spelled.holds(0, 2, 1, head, tail, k) and spelled.holds(5, 2, 1, whole, None, k)
+    assert not spelled.holds(1, 2, 1, whole, None, k) and not spelled.holds(0, 3, 1, head, tail, k) and not spelled.holds(7, 2, 1, whole, None, k)
+
+
+def test_edges_join_up_to_where_the_graph_branches(spark):
+    """Nodes 1-2-3-4-5: an edge from 3 to 9 beside makes 3 branch, so the run of a path that occurs once is cut there."""
+    rows = [(7, 70, 0, 1, [1, 2, 3, 4, 5, 6]), (8, 80, 4, 2, [1, 2, 3, 4, 5]), (9, 90, 2, 2, [3, 9]), (6, 60, 1, 1, [20, 21])]
+    compact = spark.createDataFrame(rows, "id long, tk long, at int, copies long, ns array<long>")
+    got = sorted(tuple(r) for r in substring_dedup.nonbranching(compact).collect())
+    assert got == [(7, 70, 0, 2, 1, 3), (7, 70, 2, 2, 3, 5)]
+
+
 def lines_by_hand(rows):
     """(n_lines, n_removed, text) of each row; rows are (id, text) in order, equal rows next to each other."""
     seen, out = set(), []

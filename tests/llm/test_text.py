@@ -62,6 +62,35 @@ def test_markov_words_of_all_documents(spark):
     assert words_weight(docs) == 1000 / len(texts) and max(abs(a - b) for a, b in zip(one, ten, strict=True)) < 1e-9
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_secret_query_by_hand(spark, tmp_path):
+    """All columns of the registered query, random spans too, against Python's expressions and a plain sum over the model's table."""
+    from loomtext.llm import queries_text as qt
+
+    some, other = secrets.labelled_strings(30, seed=5)
+    more = [*SECRET_TEXTS, *(f"{a} é😀 {b}\n{a}x" for a, b in zip(some, other, strict=False)), "token=" + some[0]]
+    more = spark.createDataFrame([(10**6 + i, t, "en", "made", len(t or "")) for i, t in enumerate(more)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.read.parquet(f"{DATA}/documents.parquet").unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    table = [round(x, 4) for x in secrets.train(spark, qt.ordinary_words(docs), qt.words_weight(docs))]
+    place = {c: i for i, c in enumerate(secrets.ALPHABET)}
+
+    def by_hand(text):
+        base, text = base_by_hand(text), text or ""
+        found = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            bits = [table[place[a] * len(place) + place[b]] for a, b in zip(m[0], m[0][1:])]
+            if sum(bits) / len(bits) > secrets.THRESHOLD and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+                found.append((m.start(), 3, m.end(), "random"))
+        show = lambda spans: ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(spans))
+        count = Counter(kind for *_, kind in base)
+        return (*(count[k] for k in ("assign", "access", "hex")), hashlib.sha256(show(base).encode()).hexdigest(), show(base + found))
+
+    got = {r["doc_id"]: tuple(r)[1:] for r in qt.op2_secrets_markov(spark, str(tmp_path)).collect()}
+    assert got == {r["doc_id"]: by_hand(r["text"]) for r in docs.collect()}
+    assert sum("random" in r[-1] for r in got.values()) > 20 and sum(r[0] + r[1] + r[2] for r in got.values()) > 0
+
+
 def test_markov_models_tell_held_out_strings_apart(spark):
     table = secrets.train(spark)
     random_ones, ordinary = secrets.labelled_strings(60, seed=99)
@@ -159,6 +188,24 @@ def test_classifiers_on_held_out(spark, kind):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize(("name", "modulus", "rest", "threshold", "label"), [("op1_quality_bradley_terry", 3, 1, 0.5, "quality"), ("op8_toxicity_counterfactual", 4, 2, 0.3, "toxic")])
+def test_score_queries_hold_rows_out(spark, tmp_path, name, modulus, rest, threshold, label):
+    """Held-out rows follow the rule, and what their labels say changes nothing."""
+    from loomtext.llm import registry
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    held = lambda i: zlib.crc32(str(i).encode()) % modulus == rest
+    got = {r["doc_id"]: r for r in registry.QUERIES[name](spark, DATA).collect()}
+    assert len(got) == docs.count() and all(r["held_out"] == held(i) and r["predicted"] == (r["score"] >= threshold) and 0 <= r["score"] <= 1 for i, r in got.items())
+    flipped = [(r["doc_id"], *(1 - r[c] if held(r["doc_id"]) and c == label else r[c] for c in ("quality", "toxic"))) for r in labels.collect()]
+    assert any(held(i) for i, *_ in flipped)
+    spark.createDataFrame(flipped, labels.schema).write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    other = {r["doc_id"]: r["score"] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert max(abs(other[i] - r["score"]) for i, r in got.items()) < 1e-6
+
+
 def test_classifiers_without_classes(spark):
     docs, labels = labelled(spark, 20)
     for some, expected in ((labels.where("quality = 1"), 1.0), (labels.limit(0), 0.5)):
