@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec as C
 from ..plans import boolean_ast as A
+from ..sources.stored import checkpointed
 
 
 def term_postings(posting: DataFrame, term: str) -> DataFrame:
@@ -95,7 +96,11 @@ def search(query: str, posting: DataFrame, universe: DataFrame | None = None, pl
     """(doc_id) that match a query (B8, B9). ``optimize`` looks the terms' frequencies up first."""
     tree = A.parse(query)
     tree = A.simplify(tree, frequencies(posting, A.terms(tree)) if optimize else None)
-    return (flag_plan if plan == "flag" else set_plan)(tree, posting, universe)
+    if plan == "flag":
+        return flag_plan(tree, posting, universe)
+    # The sets of all terms come from one reading of the postings; the universe is only read if the tree needs it.
+    found = checkpointed(posting.where(F.col("term").isin(*A.terms(tree))).select("term", "doc_id"))
+    return set_plan(tree, found, universe if universe is not None else universe_of(posting))
 
 
 def flat_search(query: str, posting: DataFrame) -> DataFrame:

@@ -131,10 +131,34 @@ def top_terms(posting: DataFrame, n: int) -> DataFrame:
 # ----------------------------------------------------------------- encodings
 
 
-def gap_rows(posting: DataFrame) -> DataFrame:
-    """(term, doc_id, gap) in long form."""
-    order = Window.partitionBy("term").orderBy("doc_id")
-    return posting.select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(order), F.lit(0))).cast("long").alias("gap"))
+#: Ids that one block of a list covers.
+BLOCK_IDS = 1 << 20
+
+
+def gap_rows(posting: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """(term, block, doc_id, gap) in long form.
+
+    A list is cut into blocks of ids, each sorted by itself; the first id of a block takes
+    its gap from the last one of the block before. So no task sorts all documents of a term,
+    and what is carried is one row a block.
+    """
+    rows = posting.select("term", "doc_id", F.floor(F.col("doc_id") / block_ids).alias("block"))
+    block = Window.partitionBy("term", "block")
+    rows = rows.select("*", F.lag("doc_id").over(block.orderBy("doc_id")).alias("before"), F.max("doc_id").over(block).alias("last"))
+    firsts = rows.where("before is null")
+    firsts = firsts.withColumn("before", F.coalesce(F.lag("last").over(Window.partitionBy("term").orderBy("block")), F.lit(0)))
+    both = rows.where("before is not null").union(firsts)
+    return both.select("term", "block", "doc_id", (F.col("doc_id") - F.col("before")).cast("long").alias("gap"))
+
+
+def encoded_blocks(posting: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """(term, block, df, vb): the codes of each block of a list, which follow one another in the list's code (K8).
+
+    However frequent a term is, a row holds ``block_ids`` documents at most.
+    """
+    codes = F.array_sort(F.collect_list(F.struct("doc_id", C.vb_hex(F.col("gap")).alias("code"))))
+    blocks = gap_rows(posting, block_ids).groupBy("term", "block").agg(codes.alias("codes"))
+    return blocks.select("term", "block", F.size("codes").cast("long").alias("df"), F.unhex(F.array_join(F.col("codes.code"), "")).alias("vb"))
 
 
 def vb_bytes(doc_ids):

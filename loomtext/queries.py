@@ -428,7 +428,7 @@ def _vb_hex(n: str) -> str:
 @query(f"WITH {SQL_GAPS} SELECT * FROM gaps")
 def gaps(spark, sf_dir):
     """C1, W2."""
-    return index.gap_rows(posting(spark, sf_dir))
+    return index.gap_rows(posting(spark, sf_dir)).drop("block")
 
 
 @query(f"WITH {SQL_GAPS} SELECT term, string_agg({_vb_hex('gap')}, '' ORDER BY doc_id) AS vb FROM gaps GROUP BY term")

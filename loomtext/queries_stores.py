@@ -301,3 +301,9 @@ def gap_codes(spark, sf_dir):
     """C3, C3b in long form: the code of every posting by itself, so that no list is ever one value."""
     rows = index.gap_rows(Q.posting(spark, sf_dir))
     return rows.select("term", "doc_id", C.vb_length(F.col("gap")).alias("bytes"), C.vb_hex(F.col("gap")).alias("code"))
+
+
+@query(f"""WITH {Q.SQL_GAPS} SELECT term, doc_id // 128 AS block, count(*) AS df, string_agg({Q._vb_hex('gap')}, '' ORDER BY doc_id) AS vb FROM gaps GROUP BY term, doc_id // 128""")
+def vb_blocks(spark, sf_dir):
+    """C3, K8 by blocks of 128 ids, so that lists have several."""
+    return index.encoded_blocks(Q.posting(spark, sf_dir), 128).select("term", "block", "df", F.hex("vb").alias("vb"))
