@@ -3,18 +3,43 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shapes of queries over named slots: high, middle and low thirds by document frequency.
-SHAPES = (
-    "{h0} AND {h1}", "{h0} AND {h1} AND {h2}", "{h0} AND {m0}", "{h0} AND {m1}", "{h0} AND {l0}", "{h1} AND {l1}", "{m0} AND {m1}",
-    "{h0} OR {h1}", "{h0} OR {h1} OR {h2}", "{a0} AND {b0}", "{a0} OR {b0}", "{a0} AND {c0}", "NOT {h0}", "NOT {h1}",
-    "({h0} AND {h1}) OR {m0}", "({h0} OR {h1}) AND NOT {m0}", "{h0} AND ({h1} OR {l0})", "(({h0} AND {m0}) OR {l0}) AND NOT {h1}",
-)
-FLAT_SHAPES = ("{0}", "{1}", "{2}", "{0} AND {1}", "{2} AND {3}", "{1} AND {3}", "{0} AND {1} AND {2}", "{1} AND {2} AND {3}", "{0} OR {1}", "{2} OR {3}", "{0} OR {1} OR {2}")
-BOOLEAN_SHAPES = ("({0} AND {1}) OR {2}", "{0} AND ({1} OR {2})", "({0} OR {1}) AND NOT {2}", "({0} AND {1}) OR ({2} AND {3})", "(({0} AND {1}) OR {2}) AND NOT {3}")
+OPERATORS = ("AND", "OR")
+
+
+def _slots(*names) -> list[str]:
+    return [f"{{{n}}}" for n in names]
+
+
+def _shapes() -> list[str]:
+    """Query shapes over slots named by frequency band (high, middle, low) and by initial: pairs, chains, negations, groups."""
+    bands, initials = _slots("h0", "h1", "m0", "l0"), _slots("a0", "b0", "c0")
+    out = [f"{x} {op} {y}" for op in OPERATORS for x, y in combinations(bands, 2)]
+    out += [f" {op} ".join(slots) for op in OPERATORS for slots in (initials[:2], initials)]
+    out += [f"NOT {x}" for x in bands[::2]]
+    for inner, outer in (OPERATORS, OPERATORS[::-1]):
+        group = f"({bands[0]} {inner} {bands[2]})"
+        out += [f"{group} {outer} {bands[1]}", f"{bands[1]} {outer} {group}", f"({group} {outer} {bands[3]}) AND NOT {bands[1]}"]
+    return out
+
+
+def _flat_shapes(terms: int = 4) -> list[str]:
+    """Queries without groups over the first ``terms`` terms: each alone, then neighbours by two and three."""
+    slots = _slots(*range(terms))
+    return slots + [f" {op} ".join(slots[at : at + n]) for op in OPERATORS for n in (2, 3) for at in range(terms - n + 1)]
+
+
+def _grouped_shapes() -> list[str]:
+    a, b, c, d = _slots(*range(4))
+    out = [shape for x, y in (OPERATORS, OPERATORS[::-1]) for shape in (f"({a} {x} {b}) {y} {c}", f"({a} {x} {b}) {y} ({c} {x} {d})")]
+    return [*out, *(f"({shape}) AND NOT {d}" for shape in out[::2])]
+
+
+SHAPES, FLAT_SHAPES, GROUPED_SHAPES = _shapes(), _flat_shapes(), _grouped_shapes()
 
 
 def tertiles(posting: DataFrame, n: int = 3) -> DataFrame:
@@ -46,7 +71,7 @@ def by_letter(posting: DataFrame, letters: int = 3) -> DataFrame:
     return best.select("letter", "best.term", (-F.col("best.less")).alias("doc_freq")).orderBy("letter").limit(letters)
 
 
-def dictionary_queries(posting: DataFrame, limit: int = 20) -> list[str]:
+def dictionary_queries(posting: DataFrame, limit: int = len(SHAPES)) -> list[str]:
     """Boolean queries over high, middle and low frequencies and different initials."""
     slots = {f"{r['band'][0]}{r['place']}": r["term"] for r in tertiles(posting).collect()}
     for name, row in zip("abc", by_letter(posting).collect(), strict=False):
@@ -81,7 +106,7 @@ def flat_queries(top: list[str]) -> list[str]:
 
 
 def boolean_queries(top: list[str]) -> list[str]:
-    return [s.format(*top) for s in BOOLEAN_SHAPES]
+    return [s.format(*top) for s in GROUPED_SHAPES]
 
 
 def corpus_phrases(docs: DataFrame, n: int = 10) -> DataFrame:
