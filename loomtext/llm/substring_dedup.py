@@ -221,7 +221,7 @@ def nonbranching(compact: DataFrame) -> DataFrame:
     return runs.select("id", "tk", (F.col("at") + F.col("i")).cast("int").alias("at"), "n", "head", "tail")
 
 
-def repeated_spans(docs: DataFrame, k: int = 35, m: int = GRAM, bitmap_bits: int = 26) -> DataFrame:
+def repeated_spans(docs: DataFrame, k: int = 35, m: int = GRAM, bitmap_bits: int = 28) -> DataFrame:
     """(id, tk, at, n, times, head, tail): n repeated windows from window ``at`` on, for ``docs(id, tk, text)``, and what verifies them."""
     spark = session_of(docs)
     shared = spark.sparkContext.broadcast(shared_minimizers(docs, k, m, bitmap_bits))
@@ -235,7 +235,7 @@ def repeated_spans(docs: DataFrame, k: int = 35, m: int = GRAM, bitmap_bits: int
     return paths.select("id", "tk", "at", "n", "times", F.col("c2").alias("head"), F.lit(None).cast("long").alias("tail")).union(edges)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 35, m: int = GRAM, bitmap_bits: int = 26) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 35, m: int = GRAM, bitmap_bits: int = 28) -> DataFrame:
     """(id, n_words, n_removed, kept_text) with one row per row of ``docs``; kept words are joined by one space."""
     if not 1 <= m <= k or k < 2:
         raise ValueError("a minimizer must fit in a window, and a node needs a word")
