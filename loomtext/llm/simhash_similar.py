@@ -179,11 +179,11 @@ def shingle_links(docs: DataFrame, prints: DataFrame, shingle: int, threshold: f
     shards = shards.where("m > 1").groupBy("m", "low", "high", "all").agg(F.min("key").alias("key"))
     chosen = checkpointed(keyed.join(shards.select("key"), "key", "left_semi"))
     # One row stands for each set: its text gives the shingles again.
-    needed = prints.join(chosen.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("n").alias("n"), F.min(F.struct("id", "tk")).alias("row"))
-    needed = needed.select("sid", "n", F.col("row.id").alias("__id"), F.col("row.tk").alias("__tk"))
+    sets = prints.groupBy("sid").agg(F.min("n").alias("n"), F.min(F.struct("id", "tk")).alias("row"))
+    needed = sets.join(chosen.select("sid").distinct(), "sid", "left_semi").select("sid", "n", F.col("row.id").alias("__id"), F.col("row.tk").alias("__tk"))
     texts = docs.join(needed, F.col("id").eqNullSafe(F.col("__id")) & (F.col("tk") == F.col("__tk"))).select("sid", "n", "text")
-    sets = texts.mapInArrow(run, "sid long, n long, fp long, grams binary")
-    return verified_links(chosen.join(sets, "sid"), threshold)
+    grams = texts.mapInArrow(run, "sid long, n long, fp long, grams binary")
+    return verified_links(chosen.join(grams, "sid"), threshold)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
