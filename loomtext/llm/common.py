@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import checkpointed, shared_folder  # noqa: F401  (for the modules here)
+
 #: Words as every contract defines them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one vectorised step handles.
@@ -32,24 +34,6 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``."""
-    context = session_of(df).sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(session_of(df)))
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: that of ``spark.checkpoint.dir``, else ``loomtext-checkpoints`` in the warehouse.
-
-    Driver and executors share both; a folder of one machine is never taken.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomtext-checkpoints"
-
-
 def unused(df: DataFrame, stem: str = "__") -> str:
     """A prefix that no column of ``df`` begins with, so that helper columns clash with none."""
     taken = [c.lower() for c in df.columns]
