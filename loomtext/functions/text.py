@@ -79,13 +79,18 @@ def order_phrases(phrases) -> list[str]:
     return sorted({p.lower() for p in phrases}, key=lambda p: (-len(p.split()), p))
 
 
-def merge_phrases(text: Column, phrases) -> Column:
+def merge_phrases(text: Column, phrases, shared: bool = True) -> Column:
     """Joins the words of each phrase by underscores, one phrase after the other in lexicon order.
 
     A fold over the lexicon inside one expression, whatever its size; a phrase's pattern is only tried where its text occurs.
+    Two neighbours of one phrase may share the sign between them (``of the of the``); without ``shared`` the sign belongs to
+    the first, and the second stays as it is.
     """
     quoted = lambda p: p.replace(" ", "_").replace("\\", "\\\\").replace("$", "\\$")
-    steps = [F.struct(F.lit(p).alias("text"), F.lit(rf"(?U)\b{re.escape(p)}\b").alias("pattern"), F.lit(quoted(p)).alias("to")) for p in order_phrases(phrases)]
+    outside = r"[^\p{L}\p{N}_]"
+    pattern = (lambda p: rf"(?U)\b{re.escape(p)}\b") if shared else (lambda p: rf"(\A|{outside}){re.escape(p)}({outside}|\z)")
+    to = quoted if shared else (lambda p: f"$1{quoted(p)}$2")
+    steps = [F.struct(F.lit(p).alias("text"), F.lit(pattern(p)).alias("pattern"), F.lit(to(p)).alias("to")) for p in order_phrases(phrases)]
     if not steps:
         return F.lower(text)
     return F.aggregate(F.array(*steps), F.lower(text), lambda done, p: F.when(F.contains(done, p["text"]), F.regexp_replace(done, p["pattern"], p["to"])).otherwise(done))

@@ -163,3 +163,9 @@ def test_config_merge():
     assert (config.retrieval.top_k, config.retrieval.tfidf_method, config.index.skip.strategy) == (3, "standard", "log")
     with pytest.raises(KeyError):
         update(config, {"nothing": 1})
+
+
+def test_merge_phrases_shared_sign(spark):
+    rows = [("of the of the a",), ("x of the,of the",), ("of thee",)]
+    assert values(spark, rows, "t string", X.merge_phrases(F.col("t"), ["of the"])) == ["of_the of_the a", "x of_the,of_the", "of thee"]
+    assert values(spark, rows, "t string", X.merge_phrases(F.col("t"), ["of the"], shared=False)) == ["of_the of the a", "x of_the,of the", "of thee"]
