@@ -48,6 +48,8 @@ def analyze(docs: DataFrame, config: AnalyzerConfig | None = None, id_col: str =
     config = config or AnalyzerConfig()
     raw = raw_tokens(docs, config, id_col, text_col)
     kept = F.filter("raw", lambda t: _reason(t, config).isNull())
+    if config.profile == "letters" and not config.merge_phrases and (config.lemmatize or not config.stem):
+        return raw.select("doc_id", kept.alias("tokens"))  # runs of lower-case letters are normalised as they are
     if config.stem and not config.lemmatize:
         # The stemmer is a pandas function, which arrays' lambdas can't call.
         position = raw.select("doc_id", F.posexplode_outer(kept).alias("pos", "token"))

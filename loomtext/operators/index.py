@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +15,27 @@ from ..sources.stored import checkpointed
 from .ranking import stored_statistics
 
 
+def by_document(docs: DataFrame, distinct: bool = False) -> DataFrame:
+    """(doc_id, tokens) with all rows of an id in one task, so that what is grouped by id and term needs no shuffle after.
+
+    Documents move as arrays, before they are exploded, and all readings of them share that one shuffle. The arrays are
+    exploded by ``explode_outer``: for a plain ``explode`` the optimizer adds a filter on the array's size, which it moves
+    below and which tokenises every text once more.
+    """
+    tokens = F.array_distinct("tokens") if distinct else F.col("tokens")
+    return docs.select("doc_id", tokens.alias("tokens")).repartition("doc_id")
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, term) from ``docs(doc_id, tokens)``; positions count from 1 in the normalised stream."""
-    exploded = docs.select("doc_id", F.posexplode("tokens").alias("at", "term"))
+    exploded = docs.select("doc_id", F.posexplode_outer("tokens").alias("at", "term")).where("at is not null")
     return exploded.select("doc_id", (F.col("at") + 1).cast("long").alias("pos"), "term")
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
     """(doc_id, term, tf) (A5)."""
-    return docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    terms = by_document(docs).select("doc_id", F.explode_outer("tokens").alias("term")).where("term is not null")
+    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_stats(tf: DataFrame) -> DataFrame:
@@ -30,7 +45,8 @@ def document_stats(tf: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame) -> DataFrame:
     """(term, doc_id), distinct (I3). Duplicates within a document go before the shuffle."""
-    return docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).select("term", "doc_id").distinct()
+    terms = by_document(docs, distinct=True).select("doc_id", F.explode_outer("tokens").alias("term"))
+    return terms.where("term is not null").select("term", "doc_id").distinct()
 
 
 def index_lists(posting: DataFrame) -> DataFrame:
@@ -43,8 +59,51 @@ def index_lists(posting: DataFrame) -> DataFrame:
 
 def positional_postings(docs: DataFrame) -> DataFrame:
     """(term, doc_id, tf, positions) (I4)."""
-    lists = occurrences(docs).groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return lists.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions")
+    ordered = by_document(docs).sortWithinPartitions("doc_id")
+    return ordered.mapInArrow(_positions_by_term, f"term string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, tf long, positions array<long>")
+
+
+#: Documents whose positions are grouped at once.
+GROUPED_DOCUMENTS = 1000
+
+
+def _positions_by_term(batches):
+    """Rows of (term, doc_id, tf, positions) from batches of (doc_id, tokens) in the order of ids; an id's rows are grouped together."""
+    held = None
+    for batch in batches:
+        for at in range(0, len(batch), GROUPED_DOCUMENTS):
+            part = pa.Table.from_batches([batch.slice(at, GROUPED_DOCUMENTS)])
+            held = part if held is None else pa.concat_tables([held, part])
+            # The last id may go on in what follows.
+            ids = held.column("doc_id").combine_chunks()
+            last, cut = ids[len(ids) - 1], len(ids) - 1
+            while cut and ids[cut - 1] == last:
+                cut -= 1
+            if cut:
+                yield from _grouped(held.slice(0, cut))
+                held = held.slice(cut)
+    if held is not None and len(held):
+        yield from _grouped(held)
+
+
+def _grouped(docs: pa.Table):
+    docs = docs.combine_chunks()
+    ids, lists = docs.column("doc_id").chunk(0).dictionary_encode(null_encoding="encode"), docs.column("tokens").chunk(0)
+    terms = lists.flatten().dictionary_encode()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(ids.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+    pos = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    key = owner * max(1, len(terms.dictionary)) + terms.indices.to_numpy(zero_copy_only=False)
+    order = np.lexsort((pos, key)) if len(ids.dictionary) < len(docs) else np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    if not len(starts):
+        return
+    tf = np.diff(np.append(starts, len(order)))
+    offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
+    chosen = pa.array(order[starts])
+    yield pa.RecordBatch.from_arrays([
+        terms.dictionary.take(terms.indices.take(chosen)), ids.dictionary.take(pa.array(owner[order[starts]])), pa.array(tf), pa.ListArray.from_arrays(offsets, pa.array(pos[order])),
+    ], names=["term", "doc_id", "tf", "positions"])
 
 
 def index_stats(posting: DataFrame) -> DataFrame:
@@ -140,15 +199,13 @@ def gap_rows(posting: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
 
     A list is cut into blocks of ids, each sorted by itself; the first id of a block takes
     its gap from the last one of the block before. So no task sorts all documents of a term,
-    and what is carried is one row a block.
+    and what is carried is one row for each block but a term's first.
     """
     rows = posting.select("term", "doc_id", F.floor(F.col("doc_id") / block_ids).alias("block"))
-    block = Window.partitionBy("term", "block")
-    rows = rows.select("*", F.lag("doc_id").over(block.orderBy("doc_id")).alias("before"), F.max("doc_id").over(block).alias("last"))
-    firsts = rows.where("before is null")
-    firsts = firsts.withColumn("before", F.coalesce(F.lag("last").over(Window.partitionBy("term").orderBy("block")), F.lit(0)))
-    both = rows.where("before is not null").union(firsts)
-    return both.select("term", "block", "doc_id", (F.col("doc_id") - F.col("before")).cast("long").alias("gap"))
+    lasts = rows.groupBy("term", "block").agg(F.max("doc_id").alias("last"))
+    carried = lasts.withColumn("carried", F.lag("last").over(Window.partitionBy("term").orderBy("block"))).where("carried is not null").drop("last")
+    rows = rows.withColumn("before", F.lag("doc_id").over(Window.partitionBy("term", "block").orderBy("doc_id"))).join(carried, ["term", "block"], "left")
+    return rows.select("term", "block", "doc_id", (F.col("doc_id") - F.coalesce("before", "carried", F.lit(0))).cast("long").alias("gap"))
 
 
 def encoded_blocks(posting: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -156,7 +213,7 @@ def encoded_blocks(posting: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
 
     However frequent a term is, a row holds ``block_ids`` documents at most.
     """
-    codes = F.array_sort(F.collect_list(F.struct("doc_id", C.vb_hex(F.col("gap")).alias("code"))))
+    codes = F.sort_array(F.collect_list(F.struct("doc_id", C.vb_hex(F.col("gap")).alias("code"))))
     blocks = gap_rows(posting, block_ids).groupBy("term", "block").agg(codes.alias("codes"))
     return blocks.select("term", "block", F.size("codes").cast("long").alias("df"), F.unhex(F.array_join(F.col("codes.code"), "")).alias("vb"))
 
@@ -187,10 +244,11 @@ def binary_lists(lists: DataFrame) -> DataFrame:
 def encoded_positions(ppostings: DataFrame) -> DataFrame:
     """(term, vb): count of documents, then by document its gap, count of positions and their gaps (C11)."""
     hex_of = F.concat(C.vb_hex(F.col("tf")), C.vb_hex_list(C.gaps(F.col("positions"))))
-    order = F.array_sort(F.collect_list(F.struct("doc_id", hex_of.alias("code"))))
+    order = F.sort_array(F.collect_list(F.struct("doc_id", hex_of.alias("code"))))
     whole = ppostings.groupBy("term").agg(order.alias("rows"))
-    gaps = C.gaps(F.col("rows.doc_id"))
-    codes = F.zip_with(gaps, "rows", lambda g, r: F.concat(C.vb_hex(g), r["code"]))
+    # A row's own id and the one before; the column of all ids, asked for in here, would be made anew for every document.
+    gap = lambda r, i: F.when(i == 0, r["doc_id"]).otherwise(r["doc_id"] - F.get(F.col("rows"), i - 1)["doc_id"])
+    codes = F.transform("rows", lambda r, i: F.concat(C.vb_hex(gap(r, i)), r["code"]))
     return whole.select("term", F.unhex(F.concat(C.vb_hex(F.size("rows").cast("long")), F.array_join(codes, ""))).alias("vb"))
 
 
@@ -216,15 +274,16 @@ def write_index(docs: DataFrame, path: str) -> None:
 
     Document frequencies, the collection's size and each document's norm by method are computed here once, not by search.
     """
-    tf = term_frequencies(docs)
-    tf.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/tf")
-    tf = docs.sparkSession.read.parquet(f"{path}/tf")
+    spark = docs.sparkSession
+    positional_postings(docs).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/positions")
+    # In the order of the positions, by file, so frequencies need no shuffle of their own.
+    spark.read.parquet(f"{path}/positions").select("doc_id", "term", "tf").write.mode("overwrite").parquet(f"{path}/tf")
+    tf = spark.read.parquet(f"{path}/tf")
     stored = stored_statistics(tf)
     stored["terms"].repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     for name in ("collection", "doc_stats"):
         stored[name].write.mode("overwrite").parquet(f"{path}/{name}")
     dictionary(tf.select("term", "doc_id")).write.mode("overwrite").parquet(f"{path}/dictionary")
-    positional_postings(docs).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/positions")
 
 
 def read_index(spark, path: str) -> dict[str, DataFrame]:

@@ -7,9 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomtext import queries
 from loomtext.config import AnalyzerConfig, SkipConfig
 from loomtext.operators import analysis, boolean, index, phrase, ranking, reports, skips, workload
 from loomtext.plans import boolean_ast as A
+from loomtext.sources import binary
 
 WORDS = "abcdef"
 
@@ -236,3 +238,58 @@ def test_workloads_and_reports(spark, corpus, tmp_path):
     assert reports.summary([])["average_seconds"] is None
     assert "Query 1: a e (3 results)" in reports.retrieval_report(results, queries, {})
     assert ranking.with_matches(results, queries, df).select(F.max("match_count")).first()[0] >= 1
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("make", [index.term_frequencies, index.postings, index.positional_postings])
+def test_texts_are_tokenised_once(spark, make):
+    docs = analysis.analyze(spark.createDataFrame([(1, "alpha beta")], "doc_id long, text string"))
+    assert plan_of(make(docs)).count("regexp_extract_all") == 1
+
+
+def test_positions_of_repeated_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, []), (1, ["b", "b", "a"]), (None, ["a"]), (3, None), (None, ["a"])], "doc_id long, tokens array<string>")
+    got = sorted((r["term"], str(r["doc_id"]), r["tf"], r["positions"]) for r in index.positional_postings(docs).collect())
+    assert got == [("a", "1", 2, [1, 3]), ("a", "None", 2, [1, 1]), ("b", "1", 3, [1, 2, 2])]
+
+
+def test_gaps_read_their_rows_once(corpus):
+    _, df = corpus
+    assert "Union" not in plan_of(index.gap_rows(index.postings(df), 16))
+
+
+def test_encoded_positions_of_a_long_list(spark):
+    docs = [(3 * i + 1, [1 + i % 3, 200]) for i in range(5000)]
+    rows = spark.createDataFrame([("a", d, len(p), p) for d, p in docs], "term string, doc_id long, tf long, positions array<long>")
+    out = index.encoded_positions(rows)
+    assert "rows.doc_id" not in out._jdf.queryExecution().analyzed().toString()
+    assert bytes(out.first()["vb"]) == binary.encode_positions_vb(docs)
+
+
+def test_norms_join_documents_once(spark, corpus):
+    _, df = corpus
+    tf = index.term_frequencies(df)
+    assert plan_of(ranking.document_weights(tf, "augmented")).count("Join") == 2
+    by_hand = {r["doc_id"]: r["norm"] for r in ranking.document_weights(tf, "augmented").groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).collect()}
+    norms = {r["doc_id"]: r["norm"] for r in ranking.document_norms(tf, "augmented").collect()}
+    assert norms.keys() == by_hand.keys() and all(abs(norms[d] - by_hand[d]) < 1e-9 for d in norms)
+
+
+def test_search_without_stored_tables_reads_parquet(spark, corpus):
+    _, df = corpus
+    tables = ranking.statistics(index.term_frequencies(df))
+    assert "parquet" in plan_of(tables["tf"]) and "parquet" in plan_of(tables["doc_stats"])
+
+
+def test_tags_of_whole_documents(spark):
+    tokens = spark.createDataFrame([(1, 1, "runs"), (1, 2, "dogs"), (2, 1, "runs")], "doc_id long, pos long, term string")
+    lexicon = spark.createDataFrame([("runs", "v", "run"), ("dogs", "n", "dog")], "surface string, tag string, lemma string")
+    tags = spark.createDataFrame([(1, "VBZ")], "doc_id long, tag string")
+    assert sorted(map(tuple, analysis.lemmatized(tokens, lexicon, tags).collect())) == [(1, 1, "run"), (1, 2, "dogs"), (2, 1, "runs")]
+
+
+def test_consistency_tokenises_once_a_plan(spark):
+    assert plan_of(queries.QUERIES["compare_consistency"](spark, "/root/testdata/sf0.001")).count("regexp_extract_all") <= 1
