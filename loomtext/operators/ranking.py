@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.stored import checkpointed
+from ..sources.stored import checkpointed, stored
 
 METHODS = {
     "standard": "tf * ln(N / df)",
@@ -50,17 +50,34 @@ def document_weights(tf: DataFrame, method: str = "standard", df: DataFrame | No
     The join on terms is left to Spark: frequent terms skew it, and AQE splits them.
     """
     df = df if df is not None else document_frequencies(tf)
-    rows = tf.join(df.select("term", "df"), "term").join(F.broadcast(collection_size(tf)))  # one row
-    if method == "augmented":
-        rows = rows.join(tf.groupBy("doc_id").agg(F.max("tf").alias("max_tf")), "doc_id")
-    else:
-        rows = rows.withColumn("max_tf", F.lit(1))
+    # The greatest frequency goes with its document's rows, as a join after would shuffle them once more.
+    greatest = F.max("tf").over(Window.partitionBy("doc_id")) if check_method(method) == "augmented" else F.lit(1)
+    rows = tf.withColumn("max_tf", greatest).join(df.select("term", "df"), "term").join(F.broadcast(collection_size(tf)))  # one row
     return rows.select("doc_id", "term", weight(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("max_tf"), method).alias("w"))
 
 
 def document_norms(tf: DataFrame, method: str = "standard") -> DataFrame:
     """(doc_id, norm), computed once rather than for each query."""
-    return document_weights(tf, method).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return _document_stats(tf, document_frequencies(tf), (method,)).select("doc_id", F.col(f"norm_{method}").alias("norm"))
+
+
+def _document_stats(tf: DataFrame, terms: DataFrame, methods=tuple(METHODS)) -> DataFrame:
+    """(doc_id, doc_len, max_tf, n_terms) and ``norm_<method>`` for each method, from one join and one grouping.
+
+    The augmented weight squared is (0.25 + 0.5 tf / m + 0.25 (tf / m)**2) idf**2 with the document's greatest frequency m,
+    so three sums do, and m need not be joined to the rows first.
+    """
+    idf = weight(F.lit(1), F.col("df"), F.col("n_docs"), F.lit(1), "binary")
+    sums = {"standard": [F.col("tf") * F.col("tf")], "log": [F.pow(1 + F.log("tf"), F.lit(2.0))], "augmented": [F.lit(1.0), F.col("tf"), F.col("tf") * F.col("tf")], "binary": [F.lit(1.0)]}
+    rows = tf.join(terms.select("term", "df"), "term").join(F.broadcast(collection_size(tf)))  # one row
+    rows = rows.select("doc_id", "tf", idf.alias("idf")).withColumn("idf2", F.col("idf") * F.col("idf"))
+    totals = [F.sum(part * F.col("idf2")).alias(f"{m}_{i}") for m in methods for i, part in enumerate(sums[check_method(m)])]
+    out = rows.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"), F.max("tf").alias("max_tf"), F.count("*").alias("n_terms"), *totals)
+    share = F.lit(1.0) / F.col("max_tf")
+    square = {m: F.col(f"{m}_0") for m in methods}
+    if "augmented" in methods:
+        square["augmented"] = 0.25 * F.col("augmented_0") + 0.5 * share * F.col("augmented_1") + 0.25 * share * share * F.col("augmented_2")
+    return out.select("doc_id", "doc_len", "max_tf", "n_terms", *[F.sqrt(square[m]).alias(f"norm_{m}") for m in methods])
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -71,20 +88,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def statistics(tf: DataFrame, method: str = "standard", norms: DataFrame | None = None) -> dict[str, DataFrame]:
     """What a search needs, of term frequencies that aren't stored: tf (cut here, as all the rest reads it), terms, collection and doc_stats."""
-    tf = checkpointed(tf)
-    norms = norms if norms is not None else document_norms(tf, method)
-    return {"tf": tf, "terms": document_frequencies(tf), "collection": collection_size(tf), "doc_stats": norms.withColumnRenamed("norm", f"norm_{method}")}
+    tf = stored(tf, "frequencies")
+    terms = document_frequencies(tf)
+    stats = norms.withColumnRenamed("norm", f"norm_{method}") if norms is not None else stored(_document_stats(tf, terms, (method,)), "norms")
+    return {"tf": tf, "terms": terms, "collection": collection_size(tf), "doc_stats": stats}
 
 
 def stored_statistics(tf: DataFrame) -> dict[str, DataFrame]:
     """The tables that an index keeps beside ``tf``: terms (term, df, cf), collection (n_docs), doc_stats with a norm for each method."""
-    terms, stats = document_frequencies(tf), tf.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"), F.max("tf").alias("max_tf"), F.count("*").alias("n_terms"))
-    rows = tf.join(terms.select("term", "df"), "term").join(F.broadcast(collection_size(tf)))  # one row
-    rows = rows.join(stats, "doc_id")
-    square = lambda m: F.pow(weight(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("max_tf"), m), F.lit(2.0))
-    kept = ["doc_len", "max_tf", "n_terms"]
-    doc_stats = rows.groupBy("doc_id", *kept).agg(*[F.sqrt(F.sum(square(m))).alias(f"norm_{m}") for m in METHODS])
-    return {"terms": terms, "collection": collection_size(tf), "doc_stats": doc_stats}
+    terms = document_frequencies(tf)
+    return {"terms": terms, "collection": collection_size(tf), "doc_stats": _document_stats(tf, terms)}
 
 
 def query_weights(queries: DataFrame, tables: dict[str, DataFrame], method: str = "standard") -> DataFrame:
@@ -114,7 +127,7 @@ def scores(queries: DataFrame, tables: dict[str, DataFrame], method: str = "stan
 
 def search(queries: DataFrame, tf: DataFrame, top_k: int = 10, min_similarity: float = 0.0, method: str = "standard", norms: DataFrame | None = None) -> DataFrame:
     """``search_stored`` over term frequencies without stored statistics, which are made first."""
-    return search_stored(queries, statistics(tf, check_method(method), norms), top_k, min_similarity, method)
+    return search_stored(queries, pick_terms(queries, statistics(tf, check_method(method), norms)), top_k, min_similarity, method)
 
 
 #: Distinct query terms up to which postings are picked by value, so that row groups without them aren't read.
