@@ -61,9 +61,10 @@ def analyze(docs: DataFrame, config: AnalyzerConfig | None = None, id_col: str =
 def lemmatized(tokens: DataFrame, lexicon: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """``tokens(doc_id, pos, term)`` with lemmas of ``lexicon(surface, tag, lemma)``; unknown terms stay.
 
-    ``tags(doc_id, pos, tag)`` gives Treebank tags; nouns where there is none. Whether the lexicon is broadcast is left to Spark's size threshold.
+    ``tags(doc_id, pos, tag)`` gives Treebank tags, ``tags(doc_id, tag)`` one for all of a document; nouns where there is none.
+    Whether the lexicon is broadcast is left to Spark's size threshold.
     """
-    tagged = tokens.join(tags, ["doc_id", "pos"], "left") if tags is not None else tokens.withColumn("tag", F.lit("N"))
+    tagged = tokens.join(tags, [c for c in ("doc_id", "pos") if c in tags.columns], "left") if tags is not None else tokens.withColumn("tag", F.lit("N"))
     tagged = tagged.withColumn("tag", T.wordnet_pos(F.coalesce("tag", F.lit("N"))))
     joined = tagged.join(lexicon.select(F.col("surface").alias("term"), "tag", "lemma"), ["term", "tag"], "left")
     return joined.select("doc_id", "pos", F.when(F.col("term").contains("_"), F.col("term")).otherwise(F.coalesce("lemma", "term")).alias("term"))
