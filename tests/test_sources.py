@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -112,3 +113,52 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["stats", path]) == 0
     out = capsys.readouterr().out
     assert "alpha AND NOT gamma: 1: [1]" in out and "beta gamma: 1: [2]" in out
+
+
+def test_binary_files_by_tasks_and_volumes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("pyspark.sql.DataFrame.toLocalIterator", None)
+    rows = [(f"t{i:03d}", sorted({i, 7 * i % 50, 300 + i % 5, 4000 + i})) for i in range(90)]
+    lists = spark.createDataFrame([(t, len(d), d) for t, d in rows], "term string, df long, doc_ids array<long>").repartition(5)
+    for form, encode in (("plain", binary.encode_ids), ("vb", binary.encode_gaps), ("skips", binary.encode_at)):
+        paths = str(tmp_path / form / "d.bin"), str(tmp_path / form / "l.bin")
+        binary.export_index(lists, *paths, encode, volume_bytes=500)
+        assert (tmp_path / form / "l.bin.1").exists() and not list((tmp_path / form).glob("*.part*"))
+        got = sorted((r["at"], r["term"], r["df"], r["doc_ids"]) for r in binary.read_index(spark, *paths, form, every=True).collect())
+        assert got == [(i, t, len(d), d) for i, (t, d) in enumerate(rows)]
+    # In one file, places are those of the file.
+    paths = str(tmp_path / "one" / "d.bin"), str(tmp_path / "one" / "l.bin")
+    binary.export_index(lists, *paths, binary.encode_at)
+    at, expected = 0, b""
+    for _, ids in rows:
+        expected += binary.encode_at(ids, at)
+        at = len(expected)
+    assert (tmp_path / "one" / "l.bin").read_bytes() == expected
+
+
+@pytest.mark.parametrize(("form", "encode"), [("plain", binary.encode_positions), ("vb", binary.encode_positions_vb)])
+def test_positional_files_by_tasks(spark, tmp_path, monkeypatch, form, encode):
+    monkeypatch.setattr("pyspark.sql.DataFrame.toLocalIterator", None)
+    monkeypatch.setattr(binary, "READ_BYTES", 64)
+    docs = {t: [(3 + 11 * i, [1 + i, 130 + i, 70000][: 1 + i % 2]) for i in range(n)] for t, n in (("a", 40), ("b", 1), ("c", 300), ("d", 2))}
+    rows = spark.createDataFrame([(t, d, len(p), p) for t, x in docs.items() for d, p in x], "term string, doc_id long, tf long, positions array<long>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # lists go on over batches
+    try:
+        paths = str(tmp_path / "d.bin"), str(tmp_path / "l.bin")
+        binary.export_positions(rows, *paths, encode)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (tmp_path / "l.bin").read_bytes() == b"".join(encode(x) for x in docs.values())
+    got = sorted((r["at"], r["doc_id"], r["tf"], r["positions"]) for r in binary.read_positions(spark, *paths, form, every=True).collect())
+    assert got == [(i, d, len(p), p) for i, x in enumerate(docs.values()) for d, p in x]
+
+
+def test_compressed_dictionary_is_read_in_time_and_volumes(spark, tmp_path):
+    entries = [(f"{i:06d}", i, 3 * i) for i in range(100_000)]
+    binary.write_compressed_dictionary(entries, str(tmp_path / "terms.bin"))
+    began = time.perf_counter()
+    assert binary.read_compressed_dictionary(str(tmp_path / "terms.bin")) == {t: (f, p) for t, f, p in entries}
+    assert time.perf_counter() - began < 5
+    table = spark.createDataFrame([(i + 1, *e) for i, e in enumerate(entries[:500])], "ordinal long, term string, freq long, ptr long")
+    paths = binary.export_compressed_dictionary(table, str(tmp_path / "v"), volume_chars=100)
+    assert len(paths) > 30
+    assert sorted(map(tuple, binary.read_compressed_dictionaries(spark, paths).collect())) == entries[:500]
