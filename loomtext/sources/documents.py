@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,24 +58,79 @@ def event_documents(events: DataFrame) -> DataFrame:
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, tokens) of ``{id}.txt`` files with one token a line; empty files are no documents."""
-    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    files = files.select(F.col("_metadata.file_name").alias("file_name"), "value").where("file_name <> 'mwe_phrases.txt'")
+    try:
+        store(folder)
+    except (ValueError, OSError):  # a store that only Spark knows: the driver lists it
+        name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+        files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(name.alias("file_name"), "value")
+    else:
+        files = _read_files(_list_files(spark, folder), folder).select("file_name", F.col("value").cast("string").alias("value"))
+    files = files.where("file_name <> 'mwe_phrases.txt'")
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     name = F.regexp_extract("file_name", r"^(.*)\.[^.]*$", 1)
     return files.select(X.doc_number(name, None).alias("doc_id"), lines.alias("tokens")).where(F.size("tokens") > 0)
 
 
+#: Names or bytes of files in one batch.
+LISTED_NAMES, READ_BYTES = 1 << 16, 1 << 23
+
+
+def _list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name) of the folder's text files, listed by a task, so that the driver holds no name, whatever their number."""
+
+    def names():
+        system, inner = store(folder)
+        if isinstance(system, fs.LocalFileSystem):
+            with os.scandir(inner) as found:
+                yield from (entry.name for entry in found if entry.is_file())
+        else:
+            yield from (info.base_name for info in system.get_file_info(fs.FileSelector(inner)) if info.is_file)
+
+    def run(batches):
+        for batch in batches:
+            # Hidden files are none, as for Spark's readers.
+            chosen = (name for name in names() if name.endswith(".txt") and name[0] not in "._")
+            while len(batch) and (part := list(itertools.islice(chosen, LISTED_NAMES))):
+                yield pa.RecordBatch.from_pydict({"file_name": pa.array(part, pa.string())})
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "file_name string")
+
+
+def _read_files(names: DataFrame, folder: str) -> DataFrame:
+    """(file_name, value) of whole files; each task reads a share of the names, however small the files are."""
+
+    def run(batches):
+        system, inner = store(folder)
+        for batch in batches:
+            held, values, size = [], [], 0
+            for name in batch.column("file_name").to_pylist():
+                with system.open_input_stream(f"{inner}/{name}") as file:
+                    values.append(file.read())
+                held.append(name)
+                size += len(values[-1])
+                if size >= READ_BYTES:
+                    yield pa.RecordBatch.from_pydict({"file_name": pa.array(held, pa.string()), "value": pa.array(values, pa.binary())})
+                    held, values, size = [], [], 0
+            yield pa.RecordBatch.from_pydict({"file_name": pa.array(held, pa.string()), "value": pa.array(values, pa.binary())})
+
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return names.repartition(tasks).mapInArrow(run, "file_name string, value binary")
+
+
 def write_token_files(docs: DataFrame, folder: str) -> None:
     """A file with one token a line for each document (K2), written by the executors into a folder of any store that Arrow knows."""
 
-    def write(rows) -> None:
+    def write(batches):
         system, inner = store(folder)
         system.create_dir(inner, recursive=True)
-        for row in rows:
-            with system.open_output_stream(f"{inner}/{row['doc_id']}.txt") as file:
-                file.write("\n".join(row["tokens"]).encode())
-
-    docs.select("doc_id", "tokens").foreachPartition(write)
+        for batch in batches:
+            for number, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                with system.open_output_stream(f"{inner}/{number}.txt") as file:
+                    file.write(text.encode())
+            yield batch.select(["doc_id"]).slice(0, 0)
+
+    rows = docs.select("doc_id", F.coalesce(F.array_join("tokens", "\n"), F.lit("")).alias("text"))
+    rows.mapInArrow(write, docs.select("doc_id").schema).write.format("noop").mode("overwrite").save()
 
 
 def write_phrases(spark: SparkSession, phrases, folder: str) -> None:

@@ -162,3 +162,21 @@ def test_compressed_dictionary_is_read_in_time_and_volumes(spark, tmp_path):
     paths = binary.export_compressed_dictionary(table, str(tmp_path / "v"), volume_chars=100)
     assert len(paths) > 30
     assert sorted(map(tuple, binary.read_compressed_dictionaries(spark, paths).collect())) == entries[:500]
+
+
+def test_token_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "t"
+    docs = spark.createDataFrame([(i, ["b", f"w{i}"]) for i in range(1, 60)] + [(60, []), (61, None)], "doc_id long, tokens array<string>")
+    documents.write_token_files(docs, str(folder))
+    (folder / "_9.txt").write_text("hidden")
+    (folder / "62.text").write_text("other")
+    (folder / "event_63.txt").write_bytes(b"caf\xc3\xa9\n")
+    (folder / "a+b c.txt").write_text("x")
+    read = documents.read_token_files(spark, f"file:{folder}")
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" not in plan and plan.count("MapInArrow") == 2  # the driver holds no list of files
+    got = {r["doc_id"]: r["tokens"] for r in read.collect()}
+    assert {i: t for i, t in got.items() if i < 100} == {i: ["b", f"w{i}"] for i in range(1, 60)} | {63: ["café"]} and len(got) == 61
+    # A store that Arrow doesn't know gives the same.
+    monkeypatch.setattr(documents, "store", lambda path: pytest.fail("Arrow") if path.startswith("/") else (_ for _ in ()).throw(ValueError(path)))
+    assert {r["doc_id"]: r["tokens"] for r in documents.read_token_files(spark, f"file:{folder}").collect()} == got
