@@ -12,7 +12,7 @@ from ..config import IndexConfig
 from ..functions import codec as C
 from ..functions.text import doc_number
 from ..sources.stored import checkpointed
-from .ranking import stored_statistics
+from .ranking import document_frequencies, stored_statistics
 
 
 def by_document(docs: DataFrame, distinct: bool = False) -> DataFrame:
@@ -279,10 +279,9 @@ def write_index(docs: DataFrame, path: str) -> None:
     # In the order of the positions, by file, so frequencies need no shuffle of their own.
     spark.read.parquet(f"{path}/positions").select("doc_id", "term", "tf").write.mode("overwrite").parquet(f"{path}/tf")
     tf = spark.read.parquet(f"{path}/tf")
-    stored = stored_statistics(tf)
-    stored["terms"].repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    for name in ("collection", "doc_stats"):
-        stored[name].write.mode("overwrite").parquet(f"{path}/{name}")
+    document_frequencies(tf).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    for name, table in stored_statistics(tf, spark.read.parquet(f"{path}/terms")).items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
     dictionary(tf.select("term", "doc_id")).write.mode("overwrite").parquet(f"{path}/dictionary")
 
 

@@ -58,7 +58,33 @@ def document_weights(tf: DataFrame, method: str = "standard", df: DataFrame | No
 
 def document_norms(tf: DataFrame, method: str = "standard") -> DataFrame:
     """(doc_id, norm), computed once rather than for each query."""
-    return _document_stats(tf, document_frequencies(tf), (method,)).select("doc_id", F.col(f"norm_{method}").alias("norm"))
+    tables = statistics(tf, method, keep_norms=False)
+    return tables["doc_stats"].select("doc_id", F.col(f"norm_{method}").alias("norm"))
+
+
+#: Terms at most whose document frequencies go to every executor.
+FREQUENT_TERMS = 1 << 17
+
+
+def _with_df(tf: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, tf, df) of all rows; ``tf`` and ``terms`` are read twice, so they should be stored.
+
+    The most frequent terms, ``FREQUENT_TERMS`` at most, are broadcast: they make up most rows, which then need no
+    shuffle and no sort, and no frequent term skews a task. The other rows meet their terms by a join of sorted rows, as
+    terms compress so well that a table under Spark's size threshold may be far larger once it is broadcast.
+    """
+    # Terms by the bits of their frequency: at most 64 rows tell from which power of two on there are few enough.
+    bits = {r["bits"]: r["n"] for r in terms.groupBy(F.length(F.bin("df")).alias("bits")).agg(F.count("*").alias("n")).collect()}
+    least, n = 63, 0
+    while least > 1 and n + bits.get(least - 1, 0) <= FREQUENT_TERMS:
+        least, n = least - 1, n + bits.get(least - 1, 0)
+    known = terms.select("term", "df")
+    frequent, rare = known.where(F.col("df") >= 1 << (least - 1)), known.where(F.col("df") < 1 << (least - 1))
+    columns = ["doc_id", "tf", "df"]
+    rows = tf.join(F.broadcast(frequent), "term").select(columns)  # FREQUENT_TERMS rows at most
+    if least == 1:
+        return rows
+    return rows.union(tf.join(F.broadcast(frequent.select("term")), "term", "left_anti").join(rare.hint("merge"), "term").select(columns))
 
 
 def _document_stats(tf: DataFrame, terms: DataFrame, methods=tuple(METHODS)) -> DataFrame:
@@ -69,7 +95,7 @@ def _document_stats(tf: DataFrame, terms: DataFrame, methods=tuple(METHODS)) ->
     """
     idf = weight(F.lit(1), F.col("df"), F.col("n_docs"), F.lit(1), "binary")
     sums = {"standard": [F.col("tf") * F.col("tf")], "log": [F.pow(1 + F.log("tf"), F.lit(2.0))], "augmented": [F.lit(1.0), F.col("tf"), F.col("tf") * F.col("tf")], "binary": [F.lit(1.0)]}
-    rows = tf.join(terms.select("term", "df"), "term").join(F.broadcast(collection_size(tf)))  # one row
+    rows = _with_df(tf, terms).join(F.broadcast(collection_size(tf)))  # one row
     rows = rows.select("doc_id", "tf", idf.alias("idf")).withColumn("idf2", F.col("idf") * F.col("idf"))
     totals = [F.sum(part * F.col("idf2")).alias(f"{m}_{i}") for m in methods for i, part in enumerate(sums[check_method(m)])]
     out = rows.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"), F.max("tf").alias("max_tf"), F.count("*").alias("n_terms"), *totals)
@@ -86,24 +112,23 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return tf.withColumn("q_max", F.max("qtf").over(Window.partitionBy("qid")))
 
 
-def statistics(tf: DataFrame, method: str = "standard", norms: DataFrame | None = None) -> dict[str, DataFrame]:
+def statistics(tf: DataFrame, method: str = "standard", norms: DataFrame | None = None, keep_norms: bool = True) -> dict[str, DataFrame]:
     """What a search needs, of term frequencies that aren't stored: tf (cut here, as all the rest reads it), terms, collection and doc_stats."""
     tf = stored(tf, "frequencies")
-    terms = document_frequencies(tf)
-    stats = norms.withColumnRenamed("norm", f"norm_{method}") if norms is not None else stored(_document_stats(tf, terms, (method,)), "norms")
-    return {"tf": tf, "terms": terms, "collection": collection_size(tf), "doc_stats": stats}
+    terms = stored(document_frequencies(tf), "terms")
+    stats = norms.withColumnRenamed("norm", f"norm_{method}") if norms is not None else _document_stats(tf, terms, (method,))
+    return {"tf": tf, "terms": terms, "collection": collection_size(tf), "doc_stats": stored(stats, "norms") if norms is None and keep_norms else stats}
 
 
-def stored_statistics(tf: DataFrame) -> dict[str, DataFrame]:
-    """The tables that an index keeps beside ``tf``: terms (term, df, cf), collection (n_docs), doc_stats with a norm for each method."""
-    terms = document_frequencies(tf)
-    return {"terms": terms, "collection": collection_size(tf), "doc_stats": _document_stats(tf, terms)}
+def stored_statistics(tf: DataFrame, terms: DataFrame) -> dict[str, DataFrame]:
+    """The tables that an index keeps beside ``tf`` and ``terms`` (term, df, cf): collection (n_docs), doc_stats with a norm for each method."""
+    return {"collection": collection_size(tf), "doc_stats": _document_stats(tf, terms)}
 
 
 def query_weights(queries: DataFrame, tables: dict[str, DataFrame], method: str = "standard") -> DataFrame:
-    """(qid, term, df, qw) of the queries' known terms."""
+    """(qid, term, df, qw) of the queries' known terms (R3), cut here: its size then tells whether postings need a shuffle to meet it."""
     rows = query_terms(queries).join(tables["terms"].select("term", "df"), "term").join(F.broadcast(tables["collection"]))  # one row
-    return rows.select("qid", "term", "df", weight(F.col("qtf"), F.col("df"), F.col("n_docs"), F.col("q_max"), method).alias("qw"))
+    return stored(rows.select("qid", "term", "df", weight(F.col("qtf"), F.col("df"), F.col("n_docs"), F.col("q_max"), method).alias("qw")), "query-weights")
 
 
 def scores(queries: DataFrame, tables: dict[str, DataFrame], method: str = "standard") -> DataFrame:

@@ -293,3 +293,27 @@ def test_tags_of_whole_documents(spark):
 
 def test_consistency_tokenises_once_a_plan(spark):
     assert plan_of(queries.QUERIES["compare_consistency"](spark, "/root/testdata/sf0.001")).count("regexp_extract_all") <= 1
+
+
+@pytest.mark.parametrize("most", [0, 2, 1 << 17])
+def test_norms_with_frequent_and_rare_terms(spark, corpus, monkeypatch, most):
+    monkeypatch.setattr(ranking, "FREQUENT_TERMS", most)
+    _, df = corpus
+    tf = index.term_frequencies(df)
+    for method in ranking.METHODS:
+        by_hand = {r["doc_id"]: r["norm"] for r in ranking.document_weights(tf, method).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).collect()}
+        norms = {r["doc_id"]: r["norm"] for r in ranking.document_norms(tf, method).collect()}
+        assert norms.keys() == by_hand.keys() and all(abs(norms[d] - by_hand[d]) < 1e-9 for d in norms)
+
+
+def test_norms_look_up_frequent_terms_without_a_shuffle(spark, corpus):
+    _, df = corpus
+    plan = ranking.document_norms(index.term_frequencies(df))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(term" not in plan and "SortMergeJoin" not in plan
+
+
+def test_searches_meet_few_query_terms_without_a_shuffle(spark, corpus):
+    _, df = corpus
+    tables = ranking.statistics(index.term_frequencies(df))
+    queries = spark.createDataFrame([(1, ["a", "e", "a"])], "qid long, tokens array<string>")
+    assert "hashpartitioning(term" not in ranking.scores(queries, tables)._jdf.queryExecution().executedPlan().toString()
