@@ -275,7 +275,11 @@ def write_index(docs: DataFrame, path: str) -> None:
     Document frequencies, the collection's size and each document's norm by method are computed here once, not by search.
     """
     spark = docs.sparkSession
-    positional_postings(docs).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/positions")
+    # Positions move as 32-bit numbers, which hold any place in an array.
+    short = positional_postings(docs).select("term", "doc_id", F.col("positions").cast("array<int>").alias("positions"))
+    ranged = short.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+    whole = ranged.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), F.col("positions").cast("array<long>").alias("positions"))
+    whole.write.mode("overwrite").parquet(f"{path}/positions")
     # In the order of the positions, by file, so frequencies need no shuffle of their own.
     spark.read.parquet(f"{path}/positions").select("doc_id", "term", "tf").write.mode("overwrite").parquet(f"{path}/tf")
     tf = spark.read.parquet(f"{path}/tf")

@@ -317,3 +317,14 @@ def test_searches_meet_few_query_terms_without_a_shuffle(spark, corpus):
     tables = ranking.statistics(index.term_frequencies(df))
     queries = spark.createDataFrame([(1, ["a", "e", "a"])], "qid long, tokens array<string>")
     assert "hashpartitioning(term" not in ranking.scores(queries, tables)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_positions_move_as_short_numbers(spark, corpus, tmp_path, monkeypatch):
+    kinds, (_, df) = [], corpus
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, *a, f=type(df).repartitionByRange: kinds.append(dict(self.dtypes)) or f(self, *a))
+    index.write_index(df, str(tmp_path))
+    assert kinds[0] == {"term": "string", "doc_id": "bigint", "positions": "array<int>"}
+    key = lambda r: (r["term"], r["doc_id"], r["tf"], r["positions"])
+    stored = spark.read.parquet(str(tmp_path / "positions"))
+    expected = index.positional_postings(df)
+    assert dict(stored.dtypes) == dict(expected.dtypes) and sorted(map(key, stored.collect())) == sorted(map(key, expected.collect()))
